@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import mixing, packing, quality_rules
+from readlog.llm import mixing, near_dedup, packing, quality_rules, substring_dedup
 from readlog.llm.storage import documents, shared_dir
 
 
@@ -18,6 +18,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
@@ -28,6 +36,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", rules),
+    ("MinHash near-dedup", near),
+    ("substring dedup", repeats),
     ("mixing to target weights", mixed),
     ("packing", packed),
 ]

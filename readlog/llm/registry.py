@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import mixing, packing, quality_rules
+from readlog.llm import mixing, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_minhash": near_dedup.op4_minhash,
         "op5_mixing": mixing.op5_mixing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
