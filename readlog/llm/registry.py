@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import mixing, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_minhash": near_dedup.op4_minhash,
         "op5_mixing": mixing.op5_mixing,
+        "op7_binary_packing": binary_packing.op7_binary_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
