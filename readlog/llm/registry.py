@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import binary_packing, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, language_id, mixing, near_dedup, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_search": search.op2_search,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_minhash": near_dedup.op4_minhash,
         "op5_mixing": mixing.op5_mixing,
+        "op6_quality_model": quality_model.op6_quality_model,
         "op7_binary_packing": binary_packing.op7_binary_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
