@@ -166,7 +166,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
     the vocabulary, whatever the corpus.
     """
     text = F.lower("text")
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
     # one pass over narrow rows picks the documents, and texts are read for those alone
     least = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h")).select("*", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")).alias("n"))
     picked = least.filter(F.col("n") <= sample_docs).select(F.col("doc_id").alias("_id")).distinct()

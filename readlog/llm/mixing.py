@@ -92,11 +92,13 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     left = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     parts = F.concat(F.array_repeat(F.lit(0), times), F.array_repeat(left, F.when(left > 0, 1).otherwise(0)))
-    rows = kept.select("_doc", F.explode(parts).alias("_part")).select("_doc.*", "_part")
-    cut = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), 1, F.col("_part")), " ")
-    text = F.when(F.col("_part") > 0, cut).otherwise(F.col("text"))
-    chars = {"n_chars": F.when(F.col("_part") > 0, F.length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return rows.withColumns({"text": text, **chars}).select(*docs.columns)
+    rows = kept.select("_doc", F.explode(parts).alias("_part"))
+    value = {c: F.col("_doc")[c] for c in docs.columns}
+    cut = F.array_join(F.slice(F.array_remove(F.split(value["text"], r"[\x20\x09-\x0D]+"), ""), 1, F.col("_part")), " ")
+    if "n_chars" in value:
+        value["n_chars"] = F.when(F.col("_part") > 0, F.length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(value["n_chars"])
+    value["text"] = F.when(F.col("_part") > 0, cut).otherwise(value["text"])
+    return rows.select(*[x.alias(c) for c, x in value.items()])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> Da
 def keep_one(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """docs without those that are near copies of one with a smaller id; of rows that share an id, all or none stay."""
     gone = near_duplicates(docs, group_shingles).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_key"))
+    return packed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,16 +126,17 @@ def compile_rules(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, the counts, base_failed and kept of each row."""
     base_failed, kept = compile_rules()
-    return quality_counts(docs, keep).select(*keep, *COUNTS, base_failed.alias("base_failed"), kept.alias("kept"))
+    # The row number keeps later filters above the counts; pushed below, they would evaluate all of them once more.
+    counted = quality_counts(docs, keep).select("*", F.monotonically_increasing_id().alias("_row")).filter("_row >= 0")
+    return counted.select(*keep, *COUNTS, base_failed.alias("base_failed"), kept.alias("kept"))
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with all of their columns."""
     packed = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("text"))
-    # The row number keeps the filter above the counts; pushed below, it would evaluate all of them once more.
-    judged = judge(packed, ("_doc",)).select("_doc", "kept", F.monotonically_increasing_id().alias("_row"))
-    return judged.filter("kept AND _row >= 0").select("_doc.*")
+    return judge(packed, ("_doc",)).filter("kept").select("_doc.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

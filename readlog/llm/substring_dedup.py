@@ -217,11 +217,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataF
     blocks, found = find_repeats(docs, window, **sizes)
     changed = with_answers(blocks, found, lambda _, block, answers: cleaned(block, answers, window), "doc_id long, hash long, kept string")
     lost = changed.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"])
-    joined = docs.join(lost, (docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left").filter("_kept IS NULL OR _kept <> ''")
-    text = {"text": F.coalesce("_kept", docs["text"])}
-    if "n_chars" in docs.columns:
-        text["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), docs["n_chars"])
-    return joined.select(*[text.get(c, docs[c]).alias(c) for c in docs.columns])
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_text"))
+    joined = packed.join(lost, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left").filter("_kept IS NULL OR _kept <> ''")
+    value = {c: F.col("_doc")[c] for c in docs.columns}
+    if "n_chars" in value:
+        value["n_chars"] = F.coalesce(F.length("_kept").cast(docs.schema["n_chars"].dataType), value["n_chars"])
+    value["text"] = F.coalesce("_kept", value["text"])
+    return joined.select(*[x.alias(c) for c, x in value.items()])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
