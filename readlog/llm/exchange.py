@@ -8,6 +8,7 @@ once however often it occurs there, which bounds what a frequent value costs a b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -51,12 +52,13 @@ class Block:
         keys = table.column("doc_id").combine_chunks()
         ranks = keys.fill_null(int(LAST)).to_numpy(zero_copy_only=False)
         data, offsets = textnum.text_bytes(table.column("text"))
-        prefix, powers = textnum.byte_prefix(data, 99)
-        order = np.lexsort((textnum.range_hash(prefix, powers, offsets[:-1], offsets[1:]), ranks))
-        sizes = np.diff(offsets)[order]
-        ends = np.cumsum(sizes)
-        spread = np.repeat(offsets[:-1][order] - (ends - sizes), sizes) + np.arange(len(data))
-        return Block(keys.take(pa.array(order)), ranks[order], data[spread], np.concatenate([[0], ends]).astype(np.int64))
+        order = np.argsort(ranks, kind="stable")
+        if (np.diff(ranks[order]) == 0).any():  # rows that share an id: by text
+            texts = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            order = np.array(sorted(range(len(ranks)), key=lambda i: (ranks[i], texts[i])), np.int64)
+        parts = [data[offsets[i] : offsets[i + 1]] for i in order]
+        ends = np.cumsum(np.diff(offsets)[order])
+        return Block(keys.take(pa.array(order)), ranks[order], np.concatenate([*parts, data[:0]]), np.concatenate([[0], ends]).astype(np.int64))
 
     def rows(self) -> range:
         return range(len(self.keys))

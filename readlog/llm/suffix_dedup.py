@@ -29,7 +29,7 @@ from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_bucke
 from readlog.llm.storage import documents
 
 WINDOW, GRAM = 50, 16
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 HOT_STRINGS = 15_000
 #: Windows in one string.
 LONGEST = 64
@@ -226,7 +226,7 @@ def removed_flags(block: Block, answers: list[tuple[int, bytes]]) -> np.ndarray:
         begin, end = unpack(data, np.uint32, np.uint32)
         np.add.at(change, begin, 1)
         np.add.at(change, end, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change, dtype=np.int32)[:-1] > 0
 
 
 def digest(block: Block, answers: list[tuple[int, bytes]]) -> pa.Table:
