@@ -35,6 +35,12 @@ def apply_edits(registry: DataFrame, edits: DataFrame, at: Column) -> DataFrame:
     return joined.withColumns(value).select(*registry.columns)
 
 
+def check_edits(edits: DataFrame) -> DataFrame:
+    """edits with ``error``, null if accepted: some field is named, and a named name isn't blank."""
+    blank = F.array_contains("fields", "canonical_name") & (F.trim(F.coalesce("canonical_name", F.lit(""))) == "")
+    return edits.withColumn("error", F.when(F.size("fields") == 0, "nothing").when(blank, "name"))
+
+
 def check_covers(uploads: DataFrame) -> DataFrame:
     """uploads (slug, data, content_type) with ``error``, null if accepted."""
     kind = F.coalesce(F.col("content_type").startswith("image/"), F.lit(False))

@@ -100,3 +100,25 @@ def export_series(registry: DataFrame) -> DataFrame:
 
 def export_pairs(dismissals: DataFrame) -> DataFrame:
     return dismissals.select(F.concat_ws("|", "slug_a", "slug_b").alias("id"), F.to_json(F.struct(F.concat_ws("|", "slug_a", "slug_b").alias("_id"), F.col("slug_a").alias("slugA"), F.col("slug_b").alias("slugB"))).alias("doc"))
+
+
+def export_adapters(adapters: DataFrame) -> DataFrame:
+    return adapters.select(F.col("domain").alias("id"), F.to_json(F.struct(F.col("domain").alias("_id"), "id", F.col("title_selector").alias("titleSelector"), F.col("chapter_selector").alias("chapterSelector"), F.col("chapter_url_regex").alias("chapterUrlRegex"))).alias("doc"))
+
+
+def export_covers(covers: DataFrame) -> DataFrame:
+    return covers.select("slug", F.to_json(F.struct(F.col("slug").alias("_id"), F.base64("data").alias("data"), F.col("content_type").alias("contentType"), F.col("cover_version").alias("coverVersion"))).alias("doc"))
+
+
+def present_series(registry: DataFrame) -> DataFrame:
+    """Public shape of registry rows: decoded tags, checked status, ISO times, a flag for bytes; no bytes and no pointers."""
+    return registry.select(
+        "id", F.col("canonical_name").alias("name"), "slug", F.col("cover_url").alias("coverUrl"), "cover_version", F.col("cover_image").isNotNull().alias("hasStoredCover"), text.status(F.col("status")).alias("status"), text.tags(F.col("tags")).alias("tags"),
+        text.iso(F.col("created_at")).alias("createdAt"),
+    )
+
+
+def present_events(events: DataFrame) -> DataFrame:
+    """Public shape of events; the series key stays inside."""
+    number = text.chapter_number(F.col("chapter_label"))
+    return events.select("id", "series_id", "chapter_label", number.alias("chapter_number"), "source_url", "source_domain", text.iso(F.col("read_at")).alias("read_at"))

@@ -45,6 +45,11 @@ def library(registry: DataFrame, log: DataFrame, domain: str | None = None, sinc
     counts = by_chapter.select("canonical_id", "chapter_number", "chapter_text").distinct().groupBy("canonical_id").agg(F.count("*").alias("read_count"))
     aliases = group.groupBy("canonical_id").agg(F.count_if("is_alias").alias("alias_count"))
     cards = group.filter("NOT is_alias AND NOT canonical_deleted").select("canonical_id", F.col("canonical_slug").alias("slug"), "created_ord")
+    shown = [x for x in (("canonical_name", F.col("canonical_name")), ("cover_url", F.col("cover_url")), ("status", text.status(F.col("status"))), ("tags", text.tags(F.col("tags")))) if x[0] in registry.columns]
+    if "cover_image" in registry.columns:
+        shown.append(("has_stored_cover", F.col("cover_image").isNotNull()))
+    if shown:  # metadata is the canonical row's
+        cards = cards.join(registry.select("slug", *[x.alias(c) for c, x in shown]), "slug")
     rows = cards.join(by_card, "canonical_id", "left").join(counts, "canonical_id", "left").join(aliases, "canonical_id", "left")
     if domain is not None:
         rows = rows.filter("on_domain")
@@ -56,7 +61,7 @@ def library(registry: DataFrame, log: DataFrame, domain: str | None = None, sinc
         F.col("last.chapter_label").alias("last_label"), F.col("last.read_at").alias("last_read_at"), F.col("last.source_url").alias("last_source_url"),
         F.coalesce("read_count", F.lit(0)).alias("read_count"),
         F.coalesce("source_domains", F.array().cast("array<string>")).alias("source_domains"),
-        "alias_count", "created_ord",
+        "alias_count", "created_ord", *[c for c, _ in shown],
     ).orderBy(F.col("last_read_at").desc_nulls_last(), "created_ord")
 
 

@@ -240,6 +240,22 @@ def title_similarity(s: SparkSession, d: str) -> DataFrame:
     return duplicates.title_pairs(role(s, d, roles.SHORT_TITLES))
 
 
+@query()
+def sequel_flags(s: SparkSession, d: str) -> DataFrame:
+    """Titles of documents against the same with a marker word: all are flagged."""
+    rows = title_slugs(s, d).filter("length(slug) > 8").select(F.col("slug").alias("slug_a"), F.concat("slug", F.lit("-season")).alias("slug_b")).distinct()
+    return similarity.with_similarity(rows).select("slug_a", "slug_b", "score", "sequel")
+
+
+@query()
+def confident_matches(s: SparkSession, d: str) -> DataFrame:
+    """Titles with one letter doubled, as new slugs, against the titles themselves."""
+    rows = checkpoint(title_slugs(s, d).filter("length(slug) > 20").select("slug").distinct())
+    cards = rows.select("slug", F.col("slug").alias("canonical_slug"), F.xxhash64("slug").alias("canonical_ord"), F.lit(0).alias("created_ord"), F.lit(False).alias("is_alias"), F.lit(False).alias("canonical_deleted"))
+    new = rows.select(F.concat("slug", F.substring("slug", -1, 1)).alias("slug")).join(rows, "slug", "left_anti")
+    return duplicates.best_confident_match(new, cards)
+
+
 @query()
 def title_duplicates(s: SparkSession, d: str) -> DataFrame:
     """Suggested pairs among the titles of documents."""
@@ -439,6 +455,11 @@ def event_documents(s: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("id").cast("long").alias("id"), F.col("id").alias("doc_id"), "series_slug", "chapter_label", "read_at")
 
 
+@query(f"SELECT id, series_id, chapter_label, {NUMBER} AS chapter_number, source_url, source_domain, strftime(read_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS read_at FROM ({LOG}) l")
+def present_events(s: SparkSession, d: str) -> DataFrame:
+    return documents.present_events(log(s, d))
+
+
 # sites and operations
 @query("SELECT DISTINCT lower(" + SQL_DOMAIN + ") AS domain, page_id FROM pages ORDER BY domain")
 def adapter_lookup(s: SparkSession, d: str) -> DataFrame:
