@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import binary_packing, language_id, mixing, near_dedup, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, language_id, mixing, near_dedup, oracle, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE}
+    return dict(oracle.SQL)
