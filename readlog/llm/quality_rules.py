@@ -56,7 +56,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", high=100),
     Rule("exclamations", "n_marks", "n_words", high=300),
     Rule("stop_words", "n_stop_words", "n_words", low=20),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=300),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=500),
 )
 BASE_RULES = (
     Rule("min_words", "n_words", "one", low=20_000),
