@@ -32,7 +32,7 @@ from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_bucke
 from readlog.llm.storage import documents
 
 WINDOW, ANCHOR = 50, 25
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
