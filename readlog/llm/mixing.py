@@ -24,6 +24,8 @@ from readlog.llm.storage import checkpoint, documents
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS, SHARD_WORDS, SEED = 16, 1_000_000, 17
+#: The table of sources is broadcast up to this many rows, some hundred bytes each.
+BROADCAST_SOURCES, SALTS = 10_000, 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, most: int = 2) -> DataFrame:
@@ -75,7 +77,13 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), block: int = BLOCK_WORDS,
         F.floor(F.sum("target").over(W.partitionBy()) / block).cast("long").alias("blocks"),
     )
     sources = checkpoint(sainte_lague(by_source, "everything", "sid", "target", "blocks").select("source", "sid", "source_size", "target", "n_shards", F.col("won").alias("source_blocks")))
-    dealt = sizes.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_sid")).join(sources.drop("source"), F.col("_sid") == F.col("sid"))
+    keyed = sizes.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_sid"), (F.conv(F.substring("key", 9, 4), 16, 10).cast("int") % SALTS).alias("_salt"))
+    small, on_source = sources.drop("source"), F.col("_sid") == F.col("sid")
+    if small.count() <= BROADCAST_SOURCES:
+        dealt = keyed.join(F.broadcast(small), on_source)
+    else:  # a hot source meets as many copies of its row as there are salts
+        copies = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_copy"))
+        dealt = keyed.join(copies, on_source & (F.col("_salt") == F.col("_copy"))).drop("_copy")
     dealt = dealt.select("*", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("n_shards")).alias("shard"))
     cells = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_blocks").alias("source_blocks"))
     quotas = sainte_lague(cells, "sid", "shard", "shard_size", "source_blocks").select(F.col("sid").alias("_s"), F.col("shard").alias("_k"), "shard_size", F.least(F.col("won") * block, F.col("shard_size") * 2).alias("quota"))

@@ -114,7 +114,7 @@ def fill(sizes):
 
 
 @pytest.mark.parametrize("shard", [1_000_000, 200])
-def test_mixing(edges, shard):
+def test_mixing(edges, shard, monkeypatch):
     rows = mixing.mix(edges, shard_words=shard).collect()
     assert sorted((r["doc_id"] or -1, r["size"]) for r in rows) == sorted((d or -1, len(brute.WORD.findall(t or ""))) for d, t in pairs())
     size, taken, target = Counter(), Counter(), {}
@@ -127,6 +127,8 @@ def test_mixing(edges, shard):
     cells = 1 if shard > 10_000 else 40
     assert all(abs(taken[s] - target[s]) <= 16 * cells for s in size)
     assert ordered(mixing.mix(edges, shard_words=shard).collect()) == ordered(rows)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert ordered(mixing.mix(edges, shard_words=shard).collect()) == ordered(rows)
     mixed = mixing.apply_mix(edges)
     assert mixed.columns == edges.columns
     assert mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(mixing.mix(edges).select("taken").toPandas()["taken"])
@@ -300,7 +302,7 @@ def test_search_is_exact(spark, edges):
     n, mean = len(texts), sum(sum(c.values()) for _, c in texts) / len(texts)
     df = Counter(w for _, c in texts for w in c)
     got: dict = {}
-    for x in search.search(docs, queries, shard_bytes=8000).collect():
+    for x in search.search(docs, queries, shard_bytes=8000, lot_terms=700).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["doc_id"], x["score"]))
     for q, terms in texts:
         if q % 10:
