@@ -88,6 +88,11 @@ def title_slugs(s: SparkSession, d: str) -> DataFrame:
     return role(s, d, roles.TITLES).select("id", text.slug(F.col("canonical_name")).alias("slug"))
 
 
+def whole_slugs(s: SparkSession, d: str) -> DataFrame:
+    """Distinct slugs of whole titles."""
+    return role(s, d, roles.WHOLE_TITLES).select(text.slug(F.col("canonical_name")).alias("slug")).filter("slug <> ''").distinct()
+
+
 @query(f"SELECT id, {NUMBER} AS chapter_number, CASE WHEN {NUMBER} IS NULL THEN chapter_label END AS chapter_text FROM ({LOG}) l")
 def chapter_parse(s: SparkSession, d: str) -> DataFrame:
     return library.numbered(log(s, d)).select("id", "chapter_number", "chapter_text")
@@ -243,7 +248,7 @@ def title_similarity(s: SparkSession, d: str) -> DataFrame:
 @query()
 def sequel_flags(s: SparkSession, d: str) -> DataFrame:
     """Titles of documents against the same with a marker word: all are flagged."""
-    rows = title_slugs(s, d).filter("length(slug) > 8").select(F.col("slug").alias("slug_a"), F.concat("slug", F.lit("-season")).alias("slug_b")).distinct()
+    rows = whole_slugs(s, d).filter("length(slug) > 8").select(F.col("slug").alias("slug_a"), F.concat("slug", F.lit("-season")).alias("slug_b"))
     return similarity.with_similarity(rows).select("slug_a", "slug_b", "score", "sequel")
 
 

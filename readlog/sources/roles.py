@@ -16,6 +16,8 @@ REGISTRY = """SELECT id, concat('series-', id) AS slug, id AS created_ord,
        CASE WHEN id % 13 = 5 THEN TIMESTAMP '2024-02-01 00:00:00' END AS deleted_at
 FROM (SELECT DISTINCT user_id AS id FROM {events}) u"""
 TITLES = "SELECT doc_id AS id, substring(split_part(text, chr(10), 1), 1, 60) AS canonical_name FROM {documents}"
+#: The whole first line. TITLES has its first 60 characters, as the SQL of the queries over it does.
+WHOLE_TITLES = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS canonical_name FROM {documents}"
 SHORT_TITLES = "SELECT DISTINCT replace(p_name, ' ', '-') AS slug FROM {part}"
 URLS = "SELECT page_id AS id, url FROM {pages}"
 COVERS = "SELECT concat('page-', page_id) AS slug, page_id % 4 AS cover_version, html AS data FROM {pages}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from readlog import schemas
 from readlog.functions import similarity, text
 from readlog.operators import curate, documents, duplicates, identity, ingest, library, sync
+from readlog.plans import catalog
 from readlog.sources import store
 from readlog.streaming import streams
 
@@ -120,6 +121,19 @@ def test_blocking_loses_no_pair(spark):
         assert want
 
 
+def titled(spark, tmp_path, texts):
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_sequel_flags_take_whole_titles(spark, tmp_path):
+    long = " ".join(f"w{i % 90}" for i in range(400))
+    d = titled(spark, tmp_path, [long, long[:70], "One Piece", "Solo Leveling\nsecond line", ""])
+    got = {x["slug_a"]: x["sequel"] for x in catalog.sequel_flags(spark, d).collect()}
+    assert got == dict.fromkeys([long.replace(" ", "-"), long[:70].strip().replace(" ", "-"), "one-piece", "solo-leveling"], True)
+
+
 def test_duplicates_with_covers_and_dismissals(spark):
     rows = spark.createDataFrame([("solo-leveling", "u"), ("solo-levelling", None), ("berserk", "u"), ("one-piece", None)], "slug string, cover_url string")
     got = [(x["slug_a"], x["slug_b"], x["reasons"]) for x in duplicates.duplicates(rows).collect()]
