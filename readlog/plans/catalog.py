@@ -248,14 +248,14 @@ def title_similarity(s: SparkSession, d: str) -> DataFrame:
 @query()
 def sequel_flags(s: SparkSession, d: str) -> DataFrame:
     """Titles of documents against the same with a marker word: all are flagged."""
-    rows = whole_slugs(s, d).filter("length(slug) > 8").select(F.col("slug").alias("slug_a"), F.concat("slug", F.lit("-season")).alias("slug_b"))
+    rows = whole_slugs(s, d).select(F.col("slug").alias("slug_a"), F.concat("slug", F.lit("-season")).alias("slug_b"))
     return similarity.with_similarity(rows).select("slug_a", "slug_b", "score", "sequel")
 
 
 @query()
 def confident_matches(s: SparkSession, d: str) -> DataFrame:
     """Titles with one letter doubled, as new slugs, against the titles themselves."""
-    rows = checkpoint(title_slugs(s, d).filter("length(slug) > 20").select("slug").distinct())
+    rows = checkpoint(title_slugs(s, d).filter("slug <> ''").select("slug").distinct())
     cards = rows.select("slug", F.col("slug").alias("canonical_slug"), F.xxhash64("slug").alias("canonical_ord"), F.lit(0).alias("created_ord"), F.lit(False).alias("is_alias"), F.lit(False).alias("canonical_deleted"))
     new = rows.select(F.concat("slug", F.substring("slug", -1, 1)).alias("slug")).join(rows, "slug", "left_anti")
     return duplicates.best_confident_match(new, cards)

@@ -129,9 +129,21 @@ def titled(spark, tmp_path, texts):
 
 def test_sequel_flags_take_whole_titles(spark, tmp_path):
     long = " ".join(f"w{i % 90}" for i in range(400))
-    d = titled(spark, tmp_path, [long, long[:70], "One Piece", "Solo Leveling\nsecond line", ""])
+    d = titled(spark, tmp_path, [long, long[:70], "One Piece", "ab", "x\nsecond line", ""])
     got = {x["slug_a"]: x["sequel"] for x in catalog.sequel_flags(spark, d).collect()}
-    assert got == dict.fromkeys([long.replace(" ", "-"), long[:70].strip().replace(" ", "-"), "one-piece", "solo-leveling"], True)
+    assert got == dict.fromkeys([long.replace(" ", "-"), long[:70].strip().replace(" ", "-"), "one-piece", "ab", "x"], True)
+
+
+def test_confident_matches_of_short_titles(spark, tmp_path):
+    slugs = ["abcdefghijkl", "solo-leveling", "berserk", "ab", "dr-stone-world", "dr-stone-worldd"]
+    d = titled(spark, tmp_path, slugs)
+    new = sorted({x + x[-1] for x in slugs} - set(slugs))
+    every = spark.createDataFrame([(a, b) for a in new for b in slugs], "slug_a string, slug_b string")
+    hits = similarity.with_similarity(every).filter((F.col("score") >= schemas.AUTO_MERGE_SCORE) & ~F.col("sequel")).collect()
+    want = {a: max(x["score"] for x in hits if x["slug_a"] == a) for a in {x["slug_a"] for x in hits}}
+    got = {x["slug"]: x["canonical_slug"] for x in catalog.confident_matches(spark, d).collect()}
+    assert set(got) == set(want) and {"abcdefghijkll", "solo-levelingg"} <= set(got)
+    assert all((a, b, want[a]) in {(x["slug_a"], x["slug_b"], x["score"]) for x in hits} for a, b in got.items())
 
 
 def test_duplicates_with_covers_and_dismissals(spark):
