@@ -322,7 +322,8 @@ def resurrected(s: SparkSession, d: str) -> DataFrame:
 def ingest_batch(s: SparkSession, d: str) -> DataFrame:
     """Whole ingestion against the registry and its log: every report with its card, how it was found, and whether it was appended."""
     named = registry(s, d).withColumn("cover_url", F.lit(None).cast("string"))
-    keyed = log(s, d).withColumn("series_key", F.lit(None).cast("string"))
+    pages = role(s, d, roles.URLS).select(F.col("id").alias("series_id"), text.series_key(F.col("url")).alias("series_key"))
+    keyed = log(s, d).join(pages, "series_id", "left")
     return ingest.ingest(_reports(s, d), named, keyed)["outcomes"].select("report_id", "target", "via", "created")
 
 

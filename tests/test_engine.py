@@ -174,6 +174,31 @@ def test_ingest(spark):
     assert out["appended"].count() == 4
 
 
+REPORTS = "report_id long, manga_name string, chapter_label string, source_url string, cover_url string, series_url string, read_at timestamp"
+
+
+def ordered_batch(spark):
+    """Reports of which most depend on earlier ones, the registry and log before them, and what they leave one by one."""
+    r = registry(spark, [("solo-leveling", None, False), ("forgotten-tales", None, True)]).withColumn("cover_url", F.lit(None).cast("string"))
+    events = log(spark, [(0, "Cap. 1", "a.com", 1)]).withColumn("series_key", F.lit("a.com/solo"))
+    x, y = "https://x.com/foo", "https://a.com/solo"
+    rows = [
+        ("Brand New Title", 1, None, "brand-new-title", "new", True), ("Brand New Titlee", 1, None, "brand-new-title", "title", False), ("Brand New Titlee", 2, None, "brand-new-title", "slug", True),
+        ("Foo Bar", 1, x, "foo-bar", "new", True), ("Nothing Alike", 2, x, "foo-bar", "key", True), ("Nothing Alike", 3, None, "nothing-alike", "new", True), ("Nothing Alikee", 3, None, "nothing-alike", "title", False),
+        ("Forgotten Taless", 1, None, "forgotten-taless", "new", True), ("Forgotten Tales", 1, None, "forgotten-tales", "slug", True), ("Forgottenn Tales", 2, None, "forgotten-tales", "title", True),
+        ("Foo Bar", 1, y, "solo-leveling", "key", False), ("Foo Bar", 4, None, "foo-bar", "slug", True),
+    ]
+    reports = spark.createDataFrame([(i, n, f"Cap. {c}", f"https://a.com/{i}", None, u, at(10 + i)) for i, (n, c, u, *_) in enumerate(rows)], REPORTS)
+    return reports, r, events, [(i, *row[3:]) for i, row in enumerate(rows)]
+
+
+def test_batch_equals_one_by_one(spark):
+    reports, r, events, want = ordered_batch(spark)
+    out = ingest.ingest(reports, r, events)
+    assert sorted((x["report_id"], x["target"], x["via"], x["created"]) for x in out["outcomes"].collect()) == want
+    assert out["new_series"].filter("slug = 'nothing-alikee'").first()["merged_into_slug"] == "nothing-alike"
+
+
 def test_curation(spark):
     r = registry(spark, [("a", None, False), ("b", "a", False), ("c", None, True), ("d", None, False)])
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
