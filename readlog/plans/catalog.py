@@ -506,7 +506,7 @@ def burst_sessions(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH r AS (SELECT *, {NUMBER} AS num, CASE WHEN {NUMBER} IS NULL THEN chapter_label END AS txt FROM ({LOG}) l) SELECT id, series_id, num AS chapter_number, source_domain FROM r")
 def stream_ingest(s: SparkSession, d: str) -> DataFrame:
-    """The log through a stream: conformed micro-batch by micro-batch, appended, and read back."""
+    """The log through a stream: conformed micro-batch by micro-batch, appended, and read back. It does not ingest; streams.stream_reports does."""
     out = _scratch(s, "ingest")
     rows = streams.read_table_stream(s, d, "events.parquet", s.read.parquet(f"{d}/events.parquet").schema)
     s.conf.set("spark.sql.streaming.checkpointLocation", f"{out}/marks")
