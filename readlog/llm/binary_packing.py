@@ -6,12 +6,14 @@ found in a segment tree over free capacities. What is written are the packed id
 segment lengths of each row, and positions that start anew with each segment. Lots are independent, so there is no
 shuffle and nothing grows with the corpus; at most one row a lot is badly filled.
 
-Cases: null or empty text is the single end id; repeated rows are packed once each; an empty table gives no rows; only
-``doc_id`` and ``text`` are read.
+Cases: null or empty text is the single end id; a very long text is split over as many rows as it needs; pieces of
+equal length go in the order in which they were read; repeated rows are packed once each; an empty table gives no rows;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlog.llm.storage import documents
+from readlog.llm.storage import documents, shared_dir
 
 CAPACITY, END, LOT = 2048, 50256, 1 << 20
 SCHEMA = "n_tokens int, doc_ids array<bigint>, starts array<bigint>, cu_seqlens array<int>, ids binary, positions binary"
@@ -75,7 +77,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def packed_rows(docs: DataFrame, capacity: int = CAPACITY, end: int = END, lot: int = LOT, path: str | None = None) -> DataFrame:
+def packed_rows(docs: DataFrame, capacity: int = CAPACITY, end: int = END, lot: int = LOT, paths: tuple[str, str] | None = None) -> DataFrame:
     """n_tokens, doc_ids and starts of the segments, cu_seqlens, ids (capacity unsigned 32-bit little-endian values, the
     end id as padding), positions (as many unsigned 32-bit values), row_id."""
 
@@ -96,7 +98,7 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, end: int = END, lot:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from readlog.llm.tokens import encoder
 
-        encode, last, pieces, tokens = encoder(path), np.array([end], "<u4").tobytes(), [], 0
+        encode, last, pieces, tokens = encoder(paths), np.array([end], "<u4").tobytes(), [], 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at in range(0, batch.num_rows, 256):
@@ -116,11 +118,13 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, end: int = END, lot:
     return packed.select("*", F.monotonically_increasing_id().alias("row_id"))
 
 
-def write_rows(rows: DataFrame, folder: str) -> None:
-    """The id matrices with segment lengths and positions, one Parquet part a task."""
-    rows.write.parquet(folder)
+def write_rows(rows: DataFrame, folder: str) -> DataFrame:
+    """The id matrices with segment lengths and positions, one Parquet part a task; returns the table as written."""
+    rows.write.option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
 
 
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packed_rows(documents(spark, sf_dir))
+    """Packs all documents, writes the rows to the shared folder, and returns digests of what was written."""
+    rows = write_rows(packed_rows(documents(spark, sf_dir)), f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}")
     return rows.select("row_id", "doc_ids", "starts", "cu_seqlens", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))

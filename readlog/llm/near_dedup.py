@@ -1,19 +1,22 @@
 """MinHash near-dedup with circulant signatures.
 
-Two permutations of 32-bit values give all coordinates: the first maps a shingle, the second, shifted circularly by k,
-gives coordinate k. Thirty-two bands of four coordinates propose candidates: a pair at similarity 0.75 is missed with
+Two different permutations of 32-bit values give all coordinates: the first maps a shingle, the second, shifted circularly
+by k, gives coordinate k. Thirty-two bands of four coordinates propose candidates: a pair at similarity 0.75 is missed with
 a probability of 5e-6. Documents with equal shingle sets are one node from the start. The nodes of a band value are
 linked to its smallest, so a value that a third of all documents have costs one edge a document; components of those
 edges are the groups in which links are confirmed.
 
 Links are confirmed on full shingle sets, group by group: a search from the smallest unvisited document compares it
 with all that are left at once, and a document that was reached is compared with what is left then, so a group of
-close copies takes a few passes rather than all pairs. A group larger than ``group_shingles`` is dealt into parts, and
-each two parts are searched in a task of their own, so that no task holds more than two parts and no link is lost.
+close copies takes a few passes rather than all pairs. A group larger than ``group_shingles`` is dealt into parts, of
+which each also gets the same few anchors of the group. Most of a large group is copies of the same, which the anchors
+join across parts; whatever is then not in the group's largest class is compared with every part. So no link is lost, no
+task holds more than two parts, and work is that of a group's minority against the group rather than of all pairs.
 
 Cases: a text without words has no set, is linked with nothing and is its own class; fewer than five words are one
-shingle; repeated rows with one doc_id are one document with the smaller of equal sets' ids, and each row gets its
-class; rows with a null doc_id are returned with a null class and kept; extra columns are not read.
+shingle; a very long text has all of its shingles; an empty table gives no rows; repeated rows with one doc_id are one
+document with the smaller of equal sets' ids, and each row gets its class; rows with a null doc_id are returned with a
+null class and kept; extra columns, whatever their names, are not read, and ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlog.llm import textnum
-from readlog.llm.components import components
+from readlog.llm.components import components, with_group
 from readlog.llm.storage import checkpoint, documents
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
-GROUP_SHINGLES = 4_000_000
+#: Shingles of a task, and members of a large group that all of its parts get.
+GROUP_SHINGLES, ANCHORS = 4_000_000, 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +56,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) ->
     return np.concatenate([*sets, hashes[:0]]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _permute(x: np.ndarray, spare: np.ndarray) -> None:
+#: Shifts and factors of the two permutations: that of shingles, and that which is shifted for each coordinate.
+SIGMA = ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None))
+PI = ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None))
+
+
+def permute(x: np.ndarray, spare: np.ndarray, steps: tuple) -> None:
     """A bijection of 32-bit values, in place."""
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
+    for shift, factor in steps:
         np.right_shift(x, np.uint32(shift), out=spare)
         np.bitwise_xor(x, spare, out=x)
         if factor:
@@ -64,7 +74,7 @@ def signatures(items: np.ndarray, first: np.ndarray, n: int = BANDS * ROWS, step
     """Circulant MinHash: (sets, n) coordinates; all ones for an empty set."""
     out = np.full((len(first) - 1, n), 0xFFFFFFFF, np.uint32)
     base = (items >> np.uint64(32)).astype(np.uint32)
-    _permute(base, np.empty_like(base))
+    permute(base, np.empty_like(base), SIGMA)
     full = np.flatnonzero(np.diff(first))
     at = 0
     while at < len(full):
@@ -75,7 +85,7 @@ def signatures(items: np.ndarray, first: np.ndarray, n: int = BANDS * ROWS, step
         x, spare = np.empty_like(part), np.empty_like(part)
         for k in range(n):
             np.subtract(part, np.uint32(k), out=x)
-            _permute(x, spare)
+            permute(x, spare, PI)
             out[rows, k] = np.minimum.reduceat(x, starts)
         at = to
     return out
@@ -133,15 +143,8 @@ def confirm(items: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> np.
     return root
 
 
-def links(docs: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """Confirmed edges (a, b) within candidate groups; ``groups``: node, root, n_shingles."""
-    sums = groups.groupBy("root").agg(F.sum("n_shingles").alias("all"))
-    parts = F.ceil(F.col("all") / group_shingles).cast("int")
-    placed = groups.join(sums, "root").select("node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    # each two parts make a task; a group of one part is a task of its own
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
-    dealt = placed.select("node", "root", "part", F.explode(others).alias("other")).select("node", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+def _confirmed(texts: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Edges (a, b) between members of one task; ``dealt``: node and the task's key (root, p, q)."""
     rows = texts.join(dealt, "node")
 
     def run(table: pa.Table) -> pa.Table:
@@ -156,13 +159,43 @@ def links(docs: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHINGL
     return rows.groupBy("root", "p", "q").applyInArrow(run, "a long, b long")
 
 
+def links(docs: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Confirmed edges (a, b) within candidate groups, which join what all links join; ``groups``: node, root, n_shingles."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    sums = checkpoint(groups.groupBy("root").agg(F.sum("n_shingles").alias("all"), F.count("*").alias("n")))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("all") / group_shingles)).cast("int")
+    members = with_group(groups, sums.select("root", parts.alias("parts"), "n"), ["root"], ["parts"], groups.count())
+    placed = members.select("node", "root", "n_shingles", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("p"))
+    if sums.filter(parts > 1).isEmpty():
+        return _confirmed(texts, placed.select("node", "root", "p", F.lit(-1).alias("q")))
+    placed = checkpoint(placed)
+    large = placed.filter("parts > 1")
+    by_hash = W.partitionBy("root").orderBy(F.xxhash64("node", F.lit(3)), "node")
+    anchors = large.select("*", F.row_number().over(by_hash).alias("rank")).filter(F.col("rank") <= ANCHORS)
+    everywhere = anchors.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    first = checkpoint(_confirmed(texts, placed.select("node", "root", "p").unionByName(everywhere).distinct().withColumn("q", F.lit(-1))))
+    classes = checkpoint(components(first).select("node", F.col("root").alias("cls")))
+    named = checkpoint(large.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node")))
+    largest = named.groupBy("root", "cls").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("cls", F.struct("n", "cls")).alias("main"), F.sum("n").alias("n"))
+    total = named.count()
+    others = with_group(named, largest, ["root"], ["main"], total).filter("cls <> main")
+    lots = others.groupBy("root").agg(F.ceil(F.sum("n_shingles") / group_shingles).cast("int").alias("lots"), F.count("*").alias("n"))
+    lots = checkpoint(lots.withColumn("lots", F.greatest(F.lit(1), F.col("lots"))))
+    # each lot of others meets each part of its group
+    left = with_group(others.select("node", "root", "parts"), lots, ["root"], ["lots"], total)
+    left = left.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.pmod(F.xxhash64("node", F.lit(9)), "lots").cast("int").alias("q"))
+    right = with_group(large.select("node", "root", "p"), lots, ["root"], ["lots"], total)
+    right = right.select("node", "root", "p", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("q"))
+    return first.unionByName(_confirmed(texts, left.unionByName(right).distinct()))
+
+
 def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row."""
     sketched = checkpoint(sketches(docs))
     nodes = checkpoint(sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    hubs = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = banded.join(hubs, ["band", "value"]).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = checkpoint(banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    near = with_group(banded, hubs, ["band", "value"], ["hub"], BANDS * nodes.count()).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(near)
     sized = checkpoint(groups.join(nodes.select("node", "n_shingles"), "node"))
     classes = components(links(docs, sized, group_shingles))

@@ -5,8 +5,9 @@ of two of what is left. A piece is a sequence of its own, so no sequence crosses
 pieces of equal length form a bucket, from which equally shaped batches are read. Tokenising and cutting are one pass
 over each input partition, without a shuffle or state, so hot sources and copies have no effect.
 
-Cases: null or empty text is the single id 0; repeated rows are packed once each; an empty table gives no rows; only
-``doc_id`` and ``text`` are read.
+Cases: null or empty text is the single id 0; a very long text becomes as many whole sequences as it fills; the string
+of a special token in a text is that token's id; repeated rows are packed once each; an empty table gives no rows; extra
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [capacity] * (n // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def binary_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = True) -> DataFrame:
+def binary_pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None, ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, bucket, ids (optional), sequence_id, offset: one row a piece."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -38,10 +39,9 @@ def binary_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids binary" * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
         from readlog.llm.tokens import encoder
 
-        encode = encoder(path)
+        encode = encoder(paths)
         for batch in batches:
             keys = batch.column(0)
             for at in range(0, batch.num_rows, 256):

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in local tests."""
+    """The cluster's checkpoint folder. Only a session on one machine may do without the setting, as in local tests."""
     context = spark.sparkContext
     have = context._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="readlog-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="readlog-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 

@@ -139,16 +139,17 @@ def hf():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_cached_ids_are_the_tokenizers_own():
+def test_ids_are_the_tokenizers_own():
     t, encode, r = hf(), encoder(), random.Random(3)
-    texts = [x or "" for _, x in pairs()] + ["".join(r.choice(["a", "B", " ", "  ", "\n", "\t", "'s", "é", "1", " ", "　", "!", "日", "'", "\r\n"]) for _ in range(60)) for _ in range(300)]
+    parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "é", "1", "\u00a0", "\u3000", "!", "日", "'", "\r\n", "\x85", "\x1c", "\u200b", "<|endoftext|>", "<|endo"]
+    texts = [x or "" for _, x in pairs()] + ["".join(r.choice(parts) for _ in range(60)) for _ in range(400)]
+    texts += ["<|endoftext|>", " <|endoftext|> ", "a<|endoftext|>b", "x  <|endoftext|>\n\n<|endoftext|> y"]
     for x in texts:
         assert np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    assert 50256 in np.frombuffer(encode("a<|endoftext|>b"), "<u4")
 
 
 def test_binary_pieces(edges):
@@ -166,6 +167,15 @@ def test_binary_pieces(edges):
     assert by == want
 
 
+def test_written_buckets(spark, edges, tmp_path):
+    pieces = packing.binary_pieces(edges).cache()
+    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    key = lambda df: Counter((r["doc_id"], r["start"], r["bucket"], r["length"], bytes(r["ids"])) for r in df.collect())
+    assert key(back) == key(pieces)
+    assert {p.name for p in (tmp_path / "buckets").iterdir() if p.is_dir()} == {f"bucket={r['bucket']}" for r in pieces.select("bucket").distinct().collect()}
+
+
 def test_best_fit_decreasing():
     r = random.Random(9)
     for _ in range(30):
@@ -184,9 +194,10 @@ def test_best_fit_decreasing():
         assert sorted(i for x in rows for i in x) == list(range(len(lengths)))
 
 
-def test_packed_rows_round_trip(edges):
+def test_packed_rows_round_trip(edges, tmp_path):
     parts, t = {}, hf()
-    for r in binary_packing.packed_rows(edges, capacity=64, lot=1500).collect():
+    written = binary_packing.write_rows(binary_packing.packed_rows(edges, capacity=64, lot=1500), str(tmp_path / "rows"))
+    for r in written.collect():
         ids, positions, bounds = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["positions"], "<u4"), r["cu_seqlens"]
         assert len(ids) == len(positions) == 64 and bounds[-1] == r["n_tokens"]
         for d, start, a, b in zip(r["doc_ids"], r["starts"], bounds, bounds[1:], strict=False):
@@ -276,6 +287,37 @@ def test_signatures_estimate_jaccard():
     assert abs((s[0] == s[1]).mean() - 0.75) < 0.06
 
 
+def test_permutations_are_two_bijections():
+    x = np.concatenate([np.arange(1 << 16), np.arange(1 << 31, (1 << 31) + (1 << 16))]).astype(np.uint32)
+    images = []
+    for steps in (near_dedup.SIGMA, near_dedup.PI):
+        y = x.copy()
+        near_dedup.permute(y, np.empty_like(y), steps)
+        assert len(np.unique(y)) == len(x)
+        images.append(y)
+    assert (images[0] == images[1]).sum() < 10
+
+
+def test_circulant_signature_is_the_least_of_shifted_values():
+    items = np.random.default_rng(3).integers(0, 2**63, 40).astype(np.uint64)
+    base = (items >> np.uint64(32)).astype(np.uint32)
+    near_dedup.permute(base, np.empty_like(base), near_dedup.SIGMA)
+    got = near_dedup.signatures(items, np.array([0, 40]), 16)[0]
+    for k in range(16):
+        x = base - np.uint32(k)
+        near_dedup.permute(x, np.empty_like(x), near_dedup.PI)
+        assert got[k] == x.min()
+
+
+def test_hot_groups_meet_by_broadcast(spark, monkeypatch):
+    from readlog.llm import components as module
+
+    edges = spark.createDataFrame([(i, i % 3) for i in range(3, 90)] + [(200 + i, 201 + i) for i in range(9)], "a long, b long")
+    want = sorted(map(tuple, components(edges).collect()))
+    monkeypatch.setattr(module, "HOT_ROWS", 5)
+    assert sorted(map(tuple, components(edges).collect())) == want
+
+
 def test_components(spark):
     r = random.Random(2)
     for n, m in ((30, 15), (200, 180), (50, 0)):
@@ -293,27 +335,60 @@ def test_components(spark):
 
 
 # search
-def test_search_is_exact(spark, edges):
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 8000, "lot_terms": 700}])
+def test_search_is_exact(spark, edges, sizes):
     import math
 
-    docs = spark.createDataFrame([(i, words(i % 37, 30 + i)) for i in range(150)] + [(d, t) for d, t in pairs() if d and d > 200], "doc_id long, text string")
-    queries = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    texts = [(x["doc_id"], Counter(re.findall(rb"[0-9a-z\x80-\xff]+", (x["text"] or "").encode().lower()))) for x in docs.filter("text IS NOT NULL").collect()]
+    docs = edges.select("doc_id", "text", "rank", "size").unionByName(spark.createDataFrame([(1000 + i, words(i % 37, 30 + i), 1, 2) for i in range(150)], "doc_id long, text string, rank int, size long"))
+    asking = docs.filter("doc_id % 10 = 0 OR doc_id < 100 AND doc_id <> 7").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("query_id"), "text", F.lit(1).alias("tf"))
+    texts = [(x["doc_id"], Counter(re.findall(rb"[0-9a-z\x80-\xff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x["text"]).encode()))) for x in docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").collect()]
     n, mean = len(texts), sum(sum(c.values()) for _, c in texts) / len(texts)
     df = Counter(w for _, c in texts for w in c)
     got: dict = {}
-    for x in search.search(docs, queries, shard_bytes=8000, lot_terms=700).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["doc_id"], x["score"]))
-    for q, terms in texts:
-        if q % 10:
-            continue
+    for x in search.search(docs, asking, **sizes).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["doc_id"], round(x["score"], 6)))
+    asked = {d: c for d, c in texts if d % 10 == 0 or d < 100 and d != 7}
+    assert len(asked) > 25 and set(got) == {q for q, c in asked.items() if c}
+    for q, terms in asked.items():
         scored = []
         for d, c in texts:
             size = sum(c.values())
             total = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * m * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, m in terms.items() if w in c)
             if total:
                 scored.append((-round(total, 6), d))
-        assert [(-round(s, 6), d) for _, d, s in sorted(got.get(q, []))] == sorted(scored)[:10]
+        assert [(-s, d) for _, d, s in sorted(got.get(q, []))] == sorted(scored)[:10]
+
+
+def test_blocks_are_skipped():
+    """Most postings of a shard are never scored, and the result is that of scoring all."""
+    r = np.random.default_rng(7)
+    n, kinds = 12_000, 40
+    rows = [np.unique(np.concatenate([r.integers(20 * (i % kinds), 20 * (i % kinds) + 20, 12), [800 + i % 4]])) for i in range(n)]
+    row, term = np.repeat(np.arange(n), list(map(len, rows))), np.concatenate(rows)
+    count, size = r.integers(1, 4, len(row)), np.array(list(map(len, rows))) + 5
+    b = search._shard([(np.arange(n) + 7, row, term, count, size)])
+    read = lambda name, kind: np.frombuffer(b.column(name)[0].as_buffer(), kind)
+    shard = search.Shard(read("ids", "<i8"), read("lengths", "<u4"), np.asarray(b.column("terms")[0].values), np.asarray(b.column("dfs")[0].values), read("docs", "<u4"), read("counts", "<u4"), 20.0)
+    scored = []
+    shard.impact = Counted(shard.impact, scored)
+    asked, weight = np.concatenate([np.arange(40, 60), np.arange(800, 804)]), np.concatenate([np.full(20, 4.0), np.full(4, 0.1)])
+    ids, scores = shard.search(asked, weight, 10, np.zeros(0, np.int64), np.zeros(0))
+    total = np.zeros(n)
+    np.add.at(total, row, np.where(np.isin(term, asked), np.where(term < 800, 4.0, 0.1), 0) * count * 2.2 / (count + 1.2 * (0.25 + 0.75 * size[row] / 20.0)))
+    best = np.lexsort((np.arange(n), -total))[:10]
+    assert sorted(ids.tolist()) == sorted((best + 7).tolist()) and sorted(scores) == pytest.approx(sorted(total[best]))
+    assert sum(scored) < 0.5 * np.isin(term, asked).sum()
+
+
+class Counted:
+    """An array that notes how many of its items were read."""
+
+    def __init__(self, values, seen):
+        self.values, self.seen = values, seen
+
+    def __getitem__(self, which):
+        self.seen.append(len(which))
+        return self.values[which]
 
 
 # models
@@ -338,6 +413,57 @@ def test_forward_sums_all_segmentations():
     assert language_id.forward(table, probability)[0, 0] == pytest.approx(np.log(total[8]))
 
 
+def plain_statistics(text):
+    """The statistics of quality_model.NAMES, one text at a time."""
+    data = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = [x for x in data.split(b"\n") if x]
+    n, m = max(1, len(w)), max(1, len(lines))
+    triples = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    out = [np.log1p(len(data)), np.log1p(len(w)), sum(map(len, w)) / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, len(triples) / max(1, len(w) - 2), max(Counter(w).values(), default=0) / n]
+    out += [np.log1p(len(lines)), len(set(lines)) / m, len(w) / m]
+    return out + [sum(c in members for c in data) / max(1, len(data)) for members in quality_model.CLASSES.values()]
+
+
+def test_statistics_are_the_plain_ones():
+    import pyarrow as pa
+
+    from readlog.llm import textnum
+
+    texts = [t for _, t in pairs()] + ["\n", "\n\na b\n\n", "a\nb\na\n", "x\n"]
+    got = quality_model.statistics(*textnum.text_bytes(pa.array(texts, pa.string())))
+    for t, x in zip(texts, got, strict=True):
+        assert x.tolist() == pytest.approx(plain_statistics(t)), t
+
+
+def test_flat_trees_are_walked_as_plain_ones():
+    r = np.random.default_rng(6)
+    x, nodes = r.random((50, 4)).round(1), 7
+    model = quality_model.Trees(r.integers(0, 4, (5, nodes)), r.random((5, nodes)).round(1), r.normal(size=(5, nodes + 1)), 0.3)
+    model.threshold[0, 2] = np.inf
+    for row, got in zip(x, model.score(x), strict=True):
+        total = model.base
+        for t in range(5):
+            node = 0
+            while node < nodes:
+                node = 2 * node + (2 if row[model.feature[t, node]] > model.threshold[t, node] else 1)
+            total += model.leaf[t, node - nodes]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_first_split_has_the_largest_gain():
+    r = np.random.default_rng(8)
+    x = r.random((300, 3)).round(2)
+    y = (x[:, 1] > 0.6).astype(float)
+    model = quality_model.fit_trees(x, y, trees=1, depth=1, least=1)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda part: g[part].sum() ** 2 / (h[part].sum() + 1)
+    best = max(gain(x[:, f] <= c) + gain(x[:, f] > c) for f in range(3) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality_model.BINS + 1)[1:-1])))
+    f, c = model.feature[0, 0], model.threshold[0, 0]
+    assert f == 1 and gain(x[:, f] <= c) + gain(x[:, f] > c) == pytest.approx(best)
+
+
 def test_quality_model(spark, edges):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = quality_model.fit(docs, labels)
