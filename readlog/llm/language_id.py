@@ -1,53 +1,54 @@
 """Language identification by unigrams over a fixed vocabulary, with segmentations marginalised.
 
-A language is a probability for each piece of a public byte-level vocabulary. A word's likelihood is the sum over all
-ways to cut it into pieces, by a forward pass over its bytes; a text's is the product over its words. Probabilities
-are fitted by expectation-maximisation on the words of a bounded sample of labelled documents, one language a task;
-every word's expected piece counts come from a forward and a backward pass.
+A language is a probability for each piece of a public byte-level vocabulary, all of it. A word is a run of letters in
+lower case, behind the space with which the vocabulary starts words; a run of more than ``WORD`` letters counts as
+several words. A word's likelihood is the sum over all ways to cut it into pieces, by a forward pass over its bytes; a
+text's is the product over its words. Probabilities are fitted by expectation-maximisation on all words of a bounded
+sample of labelled documents, one language a task; expected piece counts come from a forward and a backward pass.
 
-Scoring works on the different words of a lot of texts at once: pieces are found by hashing all short byte ranges, and
-the forward pass runs over all words of a length together, for all languages.
+Scoring works on the different words of a lot of texts at once: pieces are found by hashing the byte ranges of all
+lengths that the vocabulary has, and the forward pass runs over all words of a length together, for all languages.
 
-The score is the posterior of the predicted language under equal priors, with the log-likelihood tempered as for
-``EVIDENCE`` words at most, so that long texts don't all score 1 exactly.
+The score is the posterior of the predicted language under equal priors.
 
 Cases: null text, and text without a letter, is ``und`` with score 0; letters of no fitted word still score through
-single bytes; repeated rows score alike; an empty table gives no rows; without a labelled row all is ``und``; ``lang``
-and ``source`` are never read when scoring.
+single bytes; a very long text is scored whole; languages that tie go to the first by code point; repeated rows score
+alike; an empty table gives no rows; without a labelled row all is ``und``; a null doc_id is predicted, but not learnt
+from; ``lang`` and ``source`` are never read when scoring, nor are extra columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from readlog.llm import textnum
 from readlog.llm.storage import documents
 
-#: Documents a language, and different words a language, that a fit uses.
-SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, LONGEST, EVIDENCE = 1500, 40_000, 3, 6, 200
-LETTERS = re.compile(r"[^\W\d_]+")
+#: The sample of a fit: about so many documents of a language, and the languages with the most documents.
+SAMPLE_DOCS, MOST_LANGUAGES = 1500, 200
+ROUNDS, WORD = 3, 32
+WORDS = regex.compile(rf"\p{{L}}{{1,{WORD}}}")
 
 
 @lru_cache(2)
 def vocabulary(path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the pieces in order, and their lengths: all bytes, and the pieces of lower-case letters up to LONGEST bytes."""
+    """Hashes of the pieces in order, and their lengths: the whole vocabulary and all single bytes."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as lines:
         pieces = {base64.b64decode(x.split()[0]) for x in lines}
-    pieces |= {bytes([b]) for b in range(256)}
-    kept = sorted(p for p in pieces if len(p) == 1 or len(p) <= LONGEST and p.decode("utf-8", "ignore").encode() == p and p.decode().isalpha() and p.decode().islower())
+    kept = sorted(pieces | {bytes([b]) for b in range(256)})
     data = np.frombuffer(b"".join(kept), np.uint8)
     sizes = np.array([len(p) for p in kept])
     ends = np.cumsum(sizes)
@@ -58,13 +59,14 @@ def vocabulary(path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lookup:
-    """Piece numbers of hashes, by an open table on their high bits."""
+    """Piece numbers of hashes, by an open table on their high bits; and the lengths that pieces have."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
         self.bits = max(16, int(len(hashes) * 8).bit_length())
         self.hashes, self.shift = hashes, np.uint64(64 - self.bits)
         self.start = np.searchsorted(hashes >> self.shift, np.arange((1 << self.bits) + 1)).astype(np.int32)
         self.depth = int(np.diff(self.start).max())
+        self.lengths = np.unique(sizes).tolist()
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
         """-1 where there is no such piece."""
@@ -81,103 +83,110 @@ class Lookup:
         return out
 
 
-def piece_table(words: np.ndarray, lookup: Lookup) -> np.ndarray:
-    """(words, places, LONGEST) piece numbers by start and length - 1, for words of one length as rows of bytes."""
+#: Places in words of one length, and for each the piece lengths that some word has there with its piece numbers.
+Table = list[list[tuple[int, np.ndarray]]]
+
+
+def piece_table(words: np.ndarray, lookup: Lookup) -> Table:
+    """For words of one length, as rows of bytes: by the place at which a piece ends, its length and its number by word."""
     n, size = words.shape
     prefix, powers = textnum.byte_prefix(words.ravel(), 21)
-    start = np.arange(n * size)
-    room = size - start % size
-    out = np.full((n * size, LONGEST), -1, np.int32)
-    for k in range(1, min(LONGEST, size) + 1):
-        fits = np.flatnonzero(room >= k)
-        out[fits, k - 1] = lookup(textnum.range_hash(prefix, powers, start[fits], start[fits] + k))
-    return out.reshape(n, size, LONGEST)
+    out: Table = [[] for _ in range(size + 1)]
+    row = np.arange(n) * size
+    for k in lookup.lengths:
+        for at in range(size - k + 1):
+            piece = lookup(textnum.range_hash(prefix, powers, row + at, row + at + k))
+            if (piece >= 0).any():
+                out[at + k].append((k, piece))
+    return out
 
 
-def forward(table: np.ndarray, probability: np.ndarray) -> np.ndarray:
+def forward(table: Table, n: int, probability: np.ndarray) -> np.ndarray:
     """(words, languages) log-likelihoods, from piece probabilities (pieces + 1, languages) whose last row is 0."""
-    n, size, _ = table.shape
-    alpha = np.zeros((n, size + 1, probability.shape[1]))
-    alpha[:, 0] = 1
-    log = np.zeros((n, probability.shape[1]))
+    size, languages = len(table) - 1, probability.shape[1]
+    alpha = np.zeros((size + 1, n, languages))
+    alpha[0] = 1
+    log = np.zeros((n, languages))
     for at in range(1, size + 1):
-        for k in range(1, min(LONGEST, at) + 1):
-            alpha[:, at] += alpha[:, at - k] * probability[table[:, at - k, k - 1]]
+        for k, piece in table[at]:
+            alpha[at] += alpha[at - k] * probability[piece]
         if at % 24 == 0 or at == size:  # rescale what later places read
-            scale = np.maximum(alpha[:, at], 1e-280)
-            low = max(0, at - LONGEST)
-            alpha[:, low : at + 1] /= scale[:, None]
+            scale = np.maximum(alpha[at], 1e-280)
+            alpha[: at + 1] /= scale
             log += np.log(scale)
     return log
 
 
-def expected(table: np.ndarray, probability: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Expected piece counts of weighted words under one language's probabilities (pieces + 1,)."""
-    rows, size, _ = table.shape
-    a, b = np.zeros((rows, size + 1)), np.zeros((rows, size + 1))
-    a[:, 0] = b[:, size] = 1
-    p = probability[table]
+def expected(table: Table, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected piece counts of weighted words under one language's probabilities (pieces + 1,), whose last is 0.
+
+    Pieces of k bytes are scaled by the k-th power of a word's own factor, which leaves the shares of its
+    segmentations as they are and its likelihood 1.
+    """
+    n, size = len(weight), len(table) - 1
+    factor = np.exp(-forward(table, n, probability[:, None])[:, 0] / size)
+    scaled = [[(k, piece, probability[piece] * factor**k) for k, piece in places] for places in table]
+    a, b = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+    a[0] = b[size] = 1
     for at in range(1, size + 1):
-        for k in range(1, min(LONGEST, at) + 1):
-            a[:, at] += a[:, at - k] * p[:, at - k, k - 1]
-    for at in range(size - 1, -1, -1):
-        for k in range(1, min(LONGEST, size - at) + 1):
-            b[:, at] += b[:, at + k] * p[:, at, k - 1]
-    out = np.zeros(n + 1)
-    for at in range(size):
-        for k in range(1, min(LONGEST, size - at) + 1):
-            share = weight * a[:, at] * p[:, at, k - 1] * b[:, at + k] / np.maximum(a[:, size], 1e-300)
-            out += np.bincount(table[:, at, k - 1] % (n + 1), share, n + 1)
-    return out[:n]
+        for k, _, p in scaled[at]:
+            a[at] += a[at - k] * p
+    out = np.zeros(len(probability))
+    for at in range(size, 0, -1):
+        for k, piece, p in scaled[at]:
+            b[at - k] += b[at] * p
+            out += np.bincount(piece % len(probability), weight * a[at - k] * p * b[at] / a[size], len(probability))
+    return out[:-1]
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and byte matrix of the words of each length."""
+    """Numbers and byte matrix of the words of each length, about four megabytes of pieces at a time."""
     sizes = np.array([len(w) for w in words])
-    for size in np.unique(sizes):
+    for size in np.unique(sizes).tolist():
         which = np.flatnonzero(sizes == size)
-        for at in range(0, len(which), 1 << 16):
-            part = which[at : at + (1 << 16)]
+        step = max(1, (4 << 20) // (size * size))
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
             yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), size)
 
 
 def fit_language(words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS, path: str | None = None) -> np.ndarray:
     """Piece probabilities of one language from counted words."""
     hashes, sizes = vocabulary(path)
-    lookup, n = Lookup(hashes), len(hashes)
-    tables = [(piece_table(matrix, lookup), counts[which].astype(float)) for which, matrix in by_length(words)]
+    lookup, n = Lookup(hashes, sizes), len(hashes)
     probability = np.where(sizes == 1, 1e-3, 1e-4)
     for _ in range(rounds):
         found = np.full(n, 0.01)
-        for table, weight in tables:
-            found += expected(table, np.append(probability, 0.0), weight, n)
+        for which, matrix in by_length(words):
+            found += expected(piece_table(matrix, lookup), np.append(probability, 0.0), counts[which].astype(float))
         probability = found / found.sum()
     return probability
 
 
 def held_out(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages, and piece probabilities (pieces + 1, languages), from rows with a lang.
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, path: str | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages, and piece probabilities (pieces + 1, languages), from rows with a lang and a doc_id.
 
-    The sample has at most ``sample_docs`` documents a language, those of least id hash; the model's size is that of
-    the vocabulary, whatever the corpus.
+    The sample holds the documents whose id hash is below a cut by language, which follows from the language's count
+    and lets about ``sample_docs`` pass; the model's size is that of the vocabulary, whatever the corpus.
     """
-    text = F.lower("text")
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    # one pass over narrow rows picks the documents, and texts are read for those alone
-    least = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h")).select("*", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")).alias("n"))
-    picked = least.filter(F.col("n") <= sample_docs).select(F.col("doc_id").alias("_id")).distinct()
-    words = known.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"), "left_semi").select("lang", F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).select("*", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word")).alias("r")).filter(F.col("r") <= sample_words)
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    whole = 1 << 30
+    cuts = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(min(whole, -(-sample_docs * whole // r["count"])))) for r in counts)) if counts else F.create_map().cast("map<string,int>")
+    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(whole)) < F.try_element_at(cuts, F.col("lang")))
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{WORD}}})"), 1)).alias("word"))
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def run(table: pa.Table) -> pa.Table:
-        probability = fit_language([w.encode()[:64] for w in table.column("word").to_pylist()], table.column("n").to_numpy(), path=path)
+        table = table.sort_by("word")
+        probability = fit_language([b" " + w.encode() for w in table.column("word").to_pylist()], table.column("n").to_numpy(), path=path)
         return pa.table({"lang": pa.array([table.column("lang")[0].as_py()]), "p": pa.array([probability.tolist()], pa.list_(pa.float64()))})
 
-    rows = sorted(counted.select("lang", "word", "n").groupBy("lang").applyInArrow(run, "lang string, p array<double>").collect())
+    rows = sorted(counted.groupBy("lang").applyInArrow(run, "lang string, p array<double>").collect())
     n = len(vocabulary(path)[0])
     return [r["lang"] for r in rows], np.vstack([np.array([r["p"] for r in rows]).reshape(len(rows), n).T, np.zeros((1, len(rows)))])
 
@@ -185,36 +194,34 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
 class Scorer:
     """Language posteriors of texts; word likelihoods are kept for a bounded number of words."""
 
-    def __init__(self, languages: list[str], probability: np.ndarray, path: str | None = None, most: int = 150_000):
+    def __init__(self, languages: list[str], probability: np.ndarray, path: str | None = None, most: int = 400_000):
         self.languages, self.probability = languages, probability
-        self.lookup, self.most = Lookup(vocabulary(path)[0]), most
+        self.lookup, self.most = Lookup(*vocabulary(path)), most
         self.known: dict[str, int] = {}
         self.logs = np.zeros((0, len(languages)))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known, self.logs = {}, self.logs[:0]
         added = np.zeros((len(words), len(self.languages)))
-        for which, matrix in by_length([w.encode() for w in words]):
-            added[which] = forward(piece_table(matrix, self.lookup), self.probability)
-        for w in words:
-            self.known[w] = len(self.known)
+        for which, matrix in by_length([b" " + w.encode() for w in words]):
+            added[which] = forward(piece_table(matrix, self.lookup), len(which), self.probability)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.logs = np.concatenate([self.logs, added])
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
+        words = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        different = set().union(*words)
+        new = different.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known, self.logs, new = {}, self.logs[:0], different
         if new:
-            if len(self.known) + len(new) > self.most:
-                new = {w for ws in words for w in ws}
-            self._learn(sorted(new))
+            self._learn(list(new))
         sizes = np.array([len(w) for w in words])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        number = np.fromiter((self.known[w] for ws in words for w in ws), np.int64, int(first[-1]))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(first[-1]))
         some = np.flatnonzero(sizes)
         out, scores = ["und"] * len(texts), [0.0] * len(texts)
         if len(some) and self.languages:
-            log = np.add.reduceat(self.logs[number], first[some]) * np.minimum(1, EVIDENCE / sizes[some])[:, None]
+            log = np.add.reduceat(self.logs[number], first[some])
             log -= log.max(1, keepdims=True)
             posterior = np.exp(log)
             posterior /= posterior.sum(1, keepdims=True)
