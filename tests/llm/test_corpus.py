@@ -373,7 +373,7 @@ def test_documents_are_skipped():
     seen: list[int] = []
     shard.matrix = Counted(shard.matrix, seen)
     asked, weight = np.concatenate([np.arange(40, 60), np.arange(800, 805)]), np.concatenate([np.full(20, 4.0), np.full(5, 0.1)])
-    ids, scores = shard.search(asked, weight, 10, np.zeros(0, np.int64), np.zeros(0))
+    ids, scores = shard.search(shard.places(asked), weight, 10, np.zeros(0, np.int64), np.zeros(0))
     total = np.zeros(n)
     np.add.at(total, row, np.where(np.isin(term, asked), np.where(term < 800, 4.0, 0.1), 0) * count * 2.2 / (count + 1.2 * (0.25 + 0.75 * size[row] / 20.0)))
     best = np.lexsort((np.arange(n), -np.round(total, 9)))[:10]
