@@ -110,7 +110,7 @@ def forward(table: Table, n: int, probability: np.ndarray) -> np.ndarray:
     for at in range(1, size + 1):
         for k, piece in table[at]:
             alpha[at] += alpha[at - k] * probability[piece]
-        if at % 24 == 0 or at == size:  # rescale what later places read
+        if at % 16 == 0 or at == size:  # rescale what later places read
             scale = np.maximum(alpha[at], 1e-280)
             alpha[: at + 1] /= scale
             log += np.log(scale)
