@@ -87,23 +87,44 @@ def cover_docs(docs: DataFrame, column: str = "doc") -> DataFrame:
     return rows.filter("data IS NOT NULL")
 
 
+def _doc(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[x.alias(c) for c, x in fields.items()])).alias("doc")
+
+
 def export_events(events: DataFrame, registry: DataFrame) -> DataFrame:
     """id and JSON document of each event, with its series as a slug."""
     named = events.join(registry.select(F.col("id").alias("series_id"), F.col("slug").alias("_slug")), "series_id")
-    return named.select("id", F.to_json(F.struct(F.col("id").cast("string").alias("_id"), F.col("_slug").alias("mangaSlug"), F.col("chapter_label").alias("chapterLabel"), F.col("source_url").alias("sourceUrl"), F.col("source_domain").alias("sourceDomain"), text.iso(F.col("read_at")).alias("readAt"))).alias("doc"))
+    number = F.col("chapter_number") if "chapter_number" in events.columns else text.chapter_number(F.col("chapter_label"))
+    key = F.col("series_key") if "series_key" in events.columns else F.lit(None).cast("string")
+    doc = _doc(
+        _id=F.col("id").cast("string"), mangaSlug=F.col("_slug"), chapterLabel=F.col("chapter_label"), chapterNumber=number, sourceUrl=F.col("source_url"), sourceDomain=F.col("source_domain"),
+        readAt=text.iso(F.col("read_at")), seriesKey=key,
+    )
+    return named.select("id", doc)
 
 
 def export_series(registry: DataFrame) -> DataFrame:
     """slug and JSON document of each row; a flag stands for cover bytes."""
-    return registry.select("slug", F.to_json(F.struct(F.col("slug").alias("_id"), F.col("merged_into_slug").alias("mergedIntoSlug"), text.iso(F.col("deleted_at")).alias("deletedAt"))).alias("doc"))
+    tags = F.col("tags") if registry.schema["tags"].dataType.simpleString().startswith("array") else text.tags(F.col("tags"))
+    bytes_ = F.col("cover_image").isNotNull() if "cover_image" in registry.columns else F.lit(False)
+    doc = _doc(
+        _id=F.col("slug"), canonicalName=F.col("canonical_name"), coverUrl=F.col("cover_url"), hasStoredCover=bytes_, coverVersion=F.col("cover_version"), status=text.status(F.col("status")), tags=tags,
+        createdAt=text.iso(F.col("created_at")), updatedAt=text.iso(F.col("updated_at")), deletedAt=text.iso(F.col("deleted_at")), mergedIntoSlug=F.col("merged_into_slug"),
+    )
+    return registry.select("slug", doc)
 
 
 def export_pairs(dismissals: DataFrame) -> DataFrame:
-    return dismissals.select(F.concat_ws("|", "slug_a", "slug_b").alias("id"), F.to_json(F.struct(F.concat_ws("|", "slug_a", "slug_b").alias("_id"), F.col("slug_a").alias("slugA"), F.col("slug_b").alias("slugB"))).alias("doc"))
+    key = F.concat_ws("|", "slug_a", "slug_b")
+    return dismissals.select(key.alias("id"), _doc(_id=key, slugA=F.col("slug_a"), slugB=F.col("slug_b"), createdAt=text.iso(F.col("created_at"))))
 
 
 def export_adapters(adapters: DataFrame) -> DataFrame:
-    return adapters.select(F.col("domain").alias("id"), F.to_json(F.struct(F.col("domain").alias("_id"), "id", F.col("title_selector").alias("titleSelector"), F.col("chapter_selector").alias("chapterSelector"), F.col("chapter_url_regex").alias("chapterUrlRegex"))).alias("doc"))
+    doc = _doc(
+        _id=F.col("domain"), id=F.col("id"), titleSelector=F.col("title_selector"), chapterSelector=F.col("chapter_selector"), chapterUrlRegex=F.col("chapter_url_regex"),
+        createdAt=text.iso(F.col("created_at")), updatedAt=text.iso(F.col("updated_at")),
+    )
+    return adapters.select(F.col("domain").alias("id"), doc)
 
 
 def export_covers(covers: DataFrame) -> DataFrame:
@@ -111,10 +132,11 @@ def export_covers(covers: DataFrame) -> DataFrame:
 
 
 def present_series(registry: DataFrame) -> DataFrame:
-    """Public shape of registry rows: decoded tags, checked status, ISO times, a flag for bytes; no bytes and no pointers."""
+    """Public shape of registry rows: decoded tags, checked status, ISO times, a flag for bytes; no bytes."""
     return registry.select(
-        "id", F.col("canonical_name").alias("name"), "slug", F.col("cover_url").alias("coverUrl"), "cover_version", F.col("cover_image").isNotNull().alias("hasStoredCover"), text.status(F.col("status")).alias("status"), text.tags(F.col("tags")).alias("tags"),
-        text.iso(F.col("created_at")).alias("createdAt"),
+        "id", F.col("canonical_name").alias("canonicalName"), F.col("slug").alias("normalizedSlug"), F.col("cover_url").alias("coverUrl"), F.col("cover_version").alias("coverVersion"),
+        F.col("cover_image").isNotNull().alias("hasStoredCover"), text.status(F.col("status")).alias("status"), text.tags(F.col("tags")).alias("tags"), text.iso(F.col("created_at")).alias("createdAt"),
+        F.col("merged_into_slug").alias("mergedIntoSlug"),
     )
 
 

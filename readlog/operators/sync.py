@@ -60,10 +60,17 @@ def cleared_covers(local_covers: DataFrame, remote_covers: DataFrame, remote_ser
 
 
 def restore(local: dict[str, DataFrame], remote: dict[str, DataFrame], force: bool = False) -> dict[str, DataFrame]:
-    """The remote's tables in place of local ones; refused while local series, events or adapters exist, unless forced."""
+    """The remote's tables in place of local ones, by a sync into empty tables, with all of its covers; refused while
+    local series, events or adapters exist, unless forced."""
     if not force and any(not local[k].isEmpty() for k in ("series", "events", "adapters") if k in local):
         raise ValueError("local data exists; pass force=True to replace it")
-    return dict(remote)
+    empty = {k: df.filter("false") for k, df in local.items()}
+    out = {k: df for k, df in sync(empty, remote).items() if not k.startswith("push_")}
+    if "covers" in remote:
+        here = local["covers"].filter("false") if "covers" in local else remote["covers"].filter("false")
+        pulled = cover_diff(here, remote["covers"]).filter("action = 'pull'")
+        out["covers"] = remote["covers"].join(pulled.select("slug"), "slug", "left_semi")
+    return out
 
 
 def sync_counts(**frames: DataFrame) -> DataFrame:
@@ -81,13 +88,30 @@ def converge(replicas: list[DataFrame], key: str, clock: str = "updated_at", cre
 
 
 def sync(local: dict[str, DataFrame], remote: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Both directions for series, events, adapters and dismissals; pushes are computed after the pull."""
-    series = merge_lww(local["series"], remote["series"], "slug", local_only=("id", "created_at", "cover_image", "cover_image_type")).drop("moved")
-    events = event_union(local["events"], remote["events"])
-    adapters = merge_lww(local["adapters"], remote["adapters"], "domain", local_only=("id", "created_at")).drop("moved")
-    dismissals = dismissal_union(local["dismissals"], remote["dismissals"])
-    return {
-        "series": series, "events": events, "adapters": adapters, "dismissals": dismissals,
-        "push_series": push_diff(series, remote["series"], "slug"), "push_events": missing_remotely(events, remote["events"], "id"),
-        "push_adapters": push_diff(adapters, remote["adapters"], "domain"), "push_dismissals": missing_remotely(dismissals, remote["dismissals"], "slug_a", "slug_b"),
-    }
+    """Both directions for those of series, events, adapters and dismissals that both sides have; pushes are computed
+    after the pull. Series that are new here get an id made from their slug, and events that name their series by slug
+    (``series_slug``) get its id here; those of an unknown series wait for it."""
+    both = [k for k in ("series", "events", "adapters", "dismissals") if k in local and k in remote]
+    out: dict[str, DataFrame] = {}
+    if "series" in both:
+        theirs = remote["series"]
+        for c in local["series"].columns:
+            if c not in theirs.columns:
+                theirs = theirs.withColumn(c, F.lit(None).cast(local["series"].schema[c].dataType))
+        rows = merge_lww(local["series"], theirs, "slug", local_only=("id", "created_at", "cover_image", "cover_image_type"))
+        if "id" in rows.columns:
+            made = F.sha2(F.col("slug").cast("string"), 256).try_cast(local["series"].schema["id"].dataType)
+            rows = rows.withColumn("id", F.coalesce("id", made))
+        out["series"] = rows.drop("moved")
+        out["push_series"] = push_diff(out["series"], remote["series"], "slug")
+    if "events" in both:
+        named = out.get("series") if "series_slug" in remote["events"].columns else None
+        out["events"] = event_union(local["events"], remote["events"], named)
+        out["push_events"] = missing_remotely(out["events"], remote["events"], "id")
+    if "adapters" in both:
+        out["adapters"] = merge_lww(local["adapters"], remote["adapters"], "domain", local_only=("id", "created_at")).drop("moved")
+        out["push_adapters"] = push_diff(out["adapters"], remote["adapters"], "domain")
+    if "dismissals" in both:
+        out["dismissals"] = dismissal_union(local["dismissals"], remote["dismissals"])
+        out["push_dismissals"] = missing_remotely(out["dismissals"], remote["dismissals"], "slug_a", "slug_b")
+    return out

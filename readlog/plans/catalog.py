@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from readlog.functions import similarity, text
 from readlog.operators import curate, documents, duplicates, identity, ingest, library, profile, sync
 from readlog.schemas import MAX_HOPS, SITE_RULES
-from readlog.sources import roles
+from readlog.sources import roles, store
 from readlog.sources.roles import plain, role
 from readlog.sources.store import checkpoint
 from readlog.streaming import streams
@@ -32,6 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 LOG, REGISTRY, TITLES, SHORT, URLS = (plain(x) for x in (roles.LOG, roles.REGISTRY, roles.TITLES, roles.SHORT_TITLES, roles.URLS))
+CARDS, CLICKED, LINES, ADAPTERS = (plain(x) for x in (roles.CARDS, roles.CLICKED, roles.LINES, roles.ADAPTERS))
 LOCAL, REMOTE, EVENTS_A, EVENTS_B, COVERS = (plain(x) for x in (roles.LOCAL, roles.REMOTE, roles.EVENTS_A, roles.EVENTS_B, roles.COVERS))
 
 
@@ -43,6 +44,10 @@ def registry(s: SparkSession, d: str) -> DataFrame:
     return role(s, d, roles.REGISTRY)
 
 
+def cards(s: SparkSession, d: str) -> DataFrame:
+    return role(s, d, roles.CARDS)
+
+
 # SQL fragments of the oracle
 def sql_slug(c: str) -> str:
     x = rf"trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9\s-]', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13))"
@@ -83,14 +88,19 @@ SELECT canonical_slug AS slug, k.i AS id, k.l AS chapter_label, num AS chapter_n
 
 
 # conformance
-@query(f"SELECT id, {sql_slug('canonical_name')} AS slug FROM ({TITLES}) t")
+@query(f"SELECT id, {sql_slug('canonical_name')} AS slug FROM ({LINES}) t")
 def title_slugs(s: SparkSession, d: str) -> DataFrame:
-    return role(s, d, roles.TITLES).select("id", text.slug(F.col("canonical_name")).alias("slug"))
+    return role(s, d, roles.LINES).select("id", text.slug(F.col("canonical_name")).alias("slug"))
+
 
+def line_slugs(s: SparkSession, d: str) -> DataFrame:
+    """Distinct slugs of whole first lines."""
+    return title_slugs(s, d).select("slug").filter("slug <> ''").distinct()
 
-def whole_slugs(s: SparkSession, d: str) -> DataFrame:
-    """Distinct slugs of whole titles."""
-    return role(s, d, roles.WHOLE_TITLES).select(text.slug(F.col("canonical_name")).alias("slug")).filter("slug <> ''").distinct()
+
+def page_slugs(s: SparkSession, d: str) -> DataFrame:
+    """Distinct slugs of whole page titles."""
+    return role(s, d, roles.TITLES).select(text.slug(F.col("canonical_name")).alias("slug")).filter("slug <> ''").distinct()
 
 
 @query(f"SELECT id, {NUMBER} AS chapter_number, CASE WHEN {NUMBER} IS NULL THEN chapter_label END AS chapter_text FROM ({LOG}) l")
@@ -167,10 +177,10 @@ def series_groups(s: SparkSession, d: str) -> DataFrame:
     return identity.series_groups(registry(s, d))
 
 
-@query(f"WITH RECURSIVE {CANONICAL} SELECT id, canonical_id FROM mem WHERE id % 2 = 1")
+@query(f"WITH RECURSIVE {CANONICAL} SELECT id, canonical_id FROM mem")
 def canonical_of(s: SparkSession, d: str) -> DataFrame:
     r = registry(s, d)
-    return identity.canonical_of(r, r.filter("id % 2 = 1"))
+    return identity.canonical_of(r, r)
 
 
 @query(f"WITH RECURSIVE {CANONICAL} SELECT canonical_slug, slug, row_number() OVER (PARTITION BY canonical_slug ORDER BY is_alias, created_ord, slug) - 1 AS ordinal FROM mem")
@@ -178,13 +188,14 @@ def card_aliases(s: SparkSession, d: str) -> DataFrame:
     return library.aliases(registry(s, d))
 
 
-_KEYED = f"SELECT l.*, 'site/' || (l.id % 200) AS series_key FROM ({LOG}) l"
+_KEYED = f"SELECT l.*, u.series_key FROM ({LOG}) l JOIN (SELECT id, {SQL_KEY} AS series_key FROM ({URLS}) v) u ON u.id = l.series_id WHERE u.series_key IS NOT NULL"
 
 
 @query(f"""WITH RECURSIVE {CANONICAL}, k AS (SELECT series_key, series_id, row_number() OVER (PARTITION BY series_key ORDER BY read_at DESC, id DESC) AS rn FROM ({_KEYED}) x)
 SELECT series_key, canonical_slug FROM k JOIN mem m ON m.id = k.series_id WHERE rn = 1""")
 def owner_by_series_key(s: SparkSession, d: str) -> DataFrame:
-    keyed = log(s, d).withColumn("series_key", F.concat(F.lit("site/"), F.col("id") % 200))
+    pages = series_keys(s, d).withColumnRenamed("id", "series_id")
+    keyed = log(s, d).join(pages, "series_id", "left")
     return identity.owner_by_series_key(keyed, registry(s, d))
 
 
@@ -214,10 +225,10 @@ def history(s: SparkSession, d: str) -> DataFrame:
     return library.history(registry(s, d), log(s, d))
 
 
-@query(HISTORY.replace("WHERE NOT dead GROUP", "WHERE NOT dead AND canonical_slug IN (SELECT canonical_slug FROM mem WHERE id % 4 = 0) GROUP"))
+@query(HISTORY.replace("WHERE NOT dead GROUP", "WHERE NOT dead AND canonical_slug IN (SELECT canonical_slug FROM mem WHERE id IN (" + CLICKED + ")) GROUP"))
 def history_of_ids(s: SparkSession, d: str) -> DataFrame:
     r = registry(s, d)
-    return library.history(r, log(s, d), r.filter("id % 4 = 0"))
+    return library.history(r, log(s, d), role(s, d, roles.CLICKED))
 
 
 @query(f"""SELECT slug, CASE WHEN n % 3 = 0 THEN 'stored' ELSE 'fetch' END AS source, CASE WHEN n % 3 <> 0 THEN url END AS url,
@@ -245,27 +256,27 @@ def title_similarity(s: SparkSession, d: str) -> DataFrame:
     return duplicates.title_pairs(role(s, d, roles.SHORT_TITLES))
 
 
-@query()
+@query(f"""SELECT slug AS slug_a, slug || '-season' AS slug_b, round(greatest(2 * n / (2.0 * n + 6), 1 - 7 / (length(slug) + 7.0)), 9) AS score, true AS sequel
+FROM (SELECT slug, length(replace(slug, '-', '')) AS n FROM (SELECT DISTINCT {sql_slug('canonical_name')} AS slug FROM ({LINES}) t) x WHERE slug <> '') y""")
 def sequel_flags(s: SparkSession, d: str) -> DataFrame:
-    """Titles of documents against the same with a marker word: all are flagged."""
-    rows = whole_slugs(s, d).select(F.col("slug").alias("slug_a"), F.concat("slug", F.lit("-season")).alias("slug_b"))
-    return similarity.with_similarity(rows).select("slug_a", "slug_b", "score", "sequel")
+    """First lines of documents against the same with a marker word: all are flagged."""
+    rows = line_slugs(s, d).select(F.col("slug").alias("slug_a"), F.concat("slug", F.lit("-season")).alias("slug_b"))
+    return similarity.with_similarity(rows).select("slug_a", "slug_b", F.round("score", 9).alias("score"), "sequel")
 
 
 @query()
 def confident_matches(s: SparkSession, d: str) -> DataFrame:
-    """Titles with one letter doubled, as new slugs, against the titles themselves."""
-    rows = checkpoint(title_slugs(s, d).filter("slug <> ''").select("slug").distinct())
-    cards = rows.select("slug", F.col("slug").alias("canonical_slug"), F.xxhash64("slug").alias("canonical_ord"), F.lit(0).alias("created_ord"), F.lit(False).alias("is_alias"), F.lit(False).alias("canonical_deleted"))
+    """Page titles with one letter doubled, as new slugs, against the titles themselves."""
+    rows = checkpoint(page_slugs(s, d))
+    known = rows.select("slug", F.col("slug").alias("canonical_slug"), F.xxhash64("slug").alias("canonical_ord"), F.lit(0).alias("created_ord"), F.lit(False).alias("is_alias"), F.lit(False).alias("canonical_deleted"))
     new = rows.select(F.concat("slug", F.substring("slug", -1, 1)).alias("slug")).join(rows, "slug", "left_anti")
-    return duplicates.best_confident_match(new, cards)
+    return duplicates.best_confident_match(new, known)
 
 
 @query()
 def title_duplicates(s: SparkSession, d: str) -> DataFrame:
-    """Suggested pairs among the titles of documents."""
-    rows = title_slugs(s, d).filter("slug <> ''").select("slug", F.lit(None).cast("string").alias("cover_url")).distinct()
-    return duplicates.duplicates(rows)
+    """Suggested pairs among the titles of pages."""
+    return duplicates.duplicates(page_slugs(s, d).select("slug", F.lit(None).cast("string").alias("cover_url")))
 
 
 @query(f"SELECT DISTINCT a.slug AS slug_a, b.slug AS slug_b FROM (SELECT 'page-' || id AS slug, {SQL_KEY} AS k FROM ({URLS}) u) a JOIN (SELECT 'page-' || id AS slug, {SQL_KEY} AS k FROM ({URLS}) u) b ON a.k = b.k AND a.slug < b.slug")
@@ -309,22 +320,38 @@ def ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RESOLVED} SELECT slug, arg_min(cover_url, (read_at, report_id)) AS cover_url FROM r WHERE cover_url IS NOT NULL GROUP BY slug")
 def first_cover(s: SparkSession, d: str) -> DataFrame:
     rows = _ingested(s, d)
-    return ingest.first_covers(rows, rows.select("slug", F.lit(None).cast("string").alias("cover_url")))
+    return ingest.first_covers(rows, rows.select("slug", F.lit(None).cast("string").alias("cover_url"))).select("slug", "cover_url")
 
 
-@query(f"SELECT slug FROM ({REGISTRY}) r WHERE deleted_at IS NOT NULL AND id IN (SELECT user_id FROM events WHERE event_id % 7 = 0)")
+@query(f"SELECT r.slug, min(l.read_at) AS revived_at FROM ({REGISTRY}) r JOIN ({LOG}) l ON l.series_id = r.id WHERE deleted_at IS NOT NULL AND l.chapter_label = 'Extra Omake' GROUP BY 1")
 def resurrected(s: SparkSession, d: str) -> DataFrame:
-    touched = log(s, d).filter("id % 7 = 0").select(F.concat(F.lit("series-"), "series_id").alias("target"))
-    return ingest.resurrected(touched, registry(s, d))
+    touched = log(s, d).filter("chapter_label = 'Extra Omake'").select(F.concat(F.lit("series-"), "series_id").alias("target"), F.col("id").alias("report_id"), "read_at")
+    return ingest.resurrected(touched, registry(s, d)).select("slug", F.col("at").alias("revived_at"))
+
+
+def _state(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Registry and log before ingestion; the log's events know the page of their series."""
+    pages = series_keys(s, d).withColumnRenamed("id", "series_id")
+    return registry(s, d).withColumn("cover_url", F.lit(None).cast("string")), log(s, d).join(pages, "series_id", "left")
 
 
 @query()
 def ingest_batch(s: SparkSession, d: str) -> DataFrame:
-    """Whole ingestion against the registry and its log: every report with its card, how it was found, and whether it was appended."""
-    named = registry(s, d).withColumn("cover_url", F.lit(None).cast("string"))
-    pages = role(s, d, roles.URLS).select(F.col("id").alias("series_id"), text.series_key(F.col("url")).alias("series_key"))
-    keyed = log(s, d).join(pages, "series_id", "left")
-    return ingest.ingest(_reports(s, d), named, keyed)["outcomes"].select("report_id", "target", "via", "created")
+    """Whole ingestion against the registry and its log: every report with its card, how it was found, and what it changed."""
+    return ingest.ingest(_reports(s, d), *_state(s, d))["outcomes"].select("report_id", "target", "via", "series_id", "event_id", "created", "cover_changed", "revived", "changed")
+
+
+@query(f"""WITH {_RESOLVED}, c AS (SELECT report_id, slug, read_at, row_number() OVER (PARTITION BY slug, num, txt ORDER BY read_at, report_id) = 1 AS created,
+       cover_url IS NOT NULL AND row_number() OVER (PARTITION BY slug ORDER BY cover_url IS NULL, read_at, report_id) = 1 AS covers FROM r)
+SELECT report_id, slug AS target, read_at AS ts FROM c WHERE created OR covers""")
+def change_feed(s: SparkSession, d: str) -> DataFrame:
+    """The changes that reports make where every card is new."""
+    rows = _ingested(s, d)
+    nothing = rows.select("target", "chapter_number", "chapter_text").filter("false")
+    none = rows.select("slug", F.lit(None).cast("string").alias("cover_url")).filter("false")
+    first = ingest.first_covers(rows, none).select("report_id", F.lit(True).alias("cover_changed"))
+    told = ingest.outcomes(rows, nothing).join(first, "report_id", "left").withColumns({"cover_changed": F.coalesce("cover_changed", F.lit(False)), "revived": F.lit(False)})
+    return streams.change_feed(told)
 
 
 @query(f"""WITH RECURSIVE {CANONICAL} SELECT canonical_slug AS target, num AS chapter_number, txt AS chapter_text, arg_max(id, (read_at, id)) AS event_id FROM ev GROUP BY 1, 2, 3""")
@@ -337,35 +364,70 @@ def _at() -> Column:
     return F.lit("2024-03-01 00:00:00").cast("timestamp")
 
 
-@query(f"""WITH RECURSIVE {CANONICAL}, e AS (SELECT m.canonical_id AS id, x.id AS seq, 'Edited ' || x.id AS name FROM reg x JOIN mem m ON m.id = x.id WHERE x.id % 4 = 0 AND NOT m.dead)
-SELECT r.id, r.slug, coalesce((SELECT arg_max(name, seq) FROM e WHERE e.id = r.id), r.slug) AS canonical_name FROM reg r""")
-def edits_applied(s: SparkSession, d: str) -> DataFrame:
-    r = registry(s, d).withColumn("canonical_name", F.col("slug"))
-    empty = F.lit(None).cast("string")
-    edits = r.filter("id % 4 = 0").select("id", F.col("id").alias("seq"), F.array(F.lit("canonical_name")).alias("fields"), F.concat(F.lit(" Edited "), "id").alias("canonical_name"), empty.alias("status"), empty.alias("cover_url"))
-    return curate.apply_edits(r, edits, _at()).select("id", "slug", "canonical_name")
+#: The same with all columns of the registry.
+CARD_ROWS = CANONICAL.replace(f"reg AS ({REGISTRY})", f"reg AS ({CARDS})")
+_STAMP = "TIMESTAMP '2024-03-01 00:00:00'"
 
 
-@query(f"""WITH RECURSIVE {CANONICAL} SELECT r.slug, CASE WHEN NOT m.dead AND m.canonical_slug IN (SELECT canonical_slug FROM mem WHERE id % 5 = 0) THEN TIMESTAMP '2024-03-01 00:00:00' ELSE r.deleted_at END AS deleted_at
-FROM reg r JOIN mem m USING (slug)""")
+@query(f"""WITH RECURSIVE {CARD_ROWS},
+e AS (SELECT m.canonical_id AS id, max(x.id) AS last, max(x.id) FILTER (x.id % 2 = 1) AS tagged, count(*) FILTER (x.id % 2 = 0) AS covers FROM reg x JOIN mem m ON m.id = x.id WHERE NOT m.dead GROUP BY 1)
+SELECT r.id, r.slug, coalesce('Edited ' || last, canonical_name) AS canonical_name, CASE WHEN tagged IS NOT NULL THEN '["e' || tagged || '"]' ELSE tags END AS tags,
+       CASE WHEN covers > 0 THEN NULL ELSE cover_url END AS cover_url, CAST(cover_version + coalesce(covers, 0) AS BIGINT) AS cover_version, CASE WHEN last IS NULL THEN updated_at ELSE {_STAMP} END AS updated_at
+FROM reg r LEFT JOIN e ON e.id = r.id""")
+def edits_applied(s: SparkSession, d: str) -> DataFrame:
+    """Every row's id names an edit of its card: a new name, and tags or a cleared cover."""
+    r = cards(s, d)
+    fields = F.when(F.col("id") % 2 == 0, F.array(F.lit("canonical_name"), F.lit("cover_url"))).otherwise(F.array(F.lit("canonical_name"), F.lit("tags")))
+    edits = r.select("id", F.col("id").alias("seq"), fields.alias("fields"), F.concat(F.lit(" Edited "), "id").alias("canonical_name"), F.concat(F.lit('["e'), "id", F.lit('"]')).alias("tags"), F.lit(None).cast("string").alias("cover_url"))
+    return curate.apply_edits(r, edits, _at()).select("id", "slug", "canonical_name", "tags", "cover_url", F.col("cover_version").cast("long").alias("cover_version"), "updated_at")
+
+
+@query(f"""WITH RECURSIVE {CARD_ROWS} SELECT x.id, CASE WHEN x.id % 3 = 0 THEN 'nothing' WHEN x.id % 3 = 1 THEN 'name' WHEN m.id IS NULL OR m.dead THEN 'not_found' END AS error
+FROM (SELECT DISTINCT user_id + 5 AS id FROM events) x LEFT JOIN mem m ON m.id = x.id""")
+def edits_checked(s: SparkSession, d: str) -> DataFrame:
+    """Edits of ids of which some don't exist or are deleted; a third names no field, a third a blank name."""
+    n = F.col("id") % 3
+    fields = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("canonical_name")))
+    edits = registry(s, d).select((F.col("id") + 5).alias("id")).select("id", fields.alias("fields"), F.when(n == 2, "Name").otherwise(" ").alias("canonical_name"))
+    return curate.check_edits(edits, registry(s, d)).select("id", "error")
+
+
+@query(f"""WITH RECURSIVE {CARD_ROWS}, c AS (SELECT m.canonical_id AS id, max(p.page_id) AS last, count(*) AS n FROM pages p JOIN mem m ON m.id = p.page_id WHERE NOT m.dead AND p.page_id % 3 <> 2 GROUP BY 1)
+SELECT r.slug, md5(p.html) AS cover_md5, CASE WHEN c.id IS NOT NULL THEN 'image/png' END AS cover_image_type, CAST(cover_version + coalesce(n, 0) AS BIGINT) AS cover_version,
+       CASE WHEN c.id IS NULL THEN updated_at ELSE {_STAMP} END AS updated_at FROM reg r LEFT JOIN c ON c.id = r.id LEFT JOIN pages p ON p.page_id = c.last""")
+def covers_applied(s: SparkSession, d: str) -> DataFrame:
+    """Uploads for the series with a page's id; every third isn't an image."""
+    r = cards(s, d).withColumns({"cover_image": F.lit(None).cast("binary"), "cover_image_type": F.lit(None).cast("string")})
+    kind = F.when(F.col("page_id") % 3 == 2, "text/html").otherwise("image/png")
+    uploads = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.col("page_id").alias("seq"), F.encode("html", "utf-8").alias("data"), kind.alias("content_type"))
+    return curate.apply_covers(r, uploads, _at()).select("slug", F.md5("cover_image").alias("cover_md5"), "cover_image_type", F.col("cover_version").cast("long").alias("cover_version"), "updated_at")
+
+
+@query(f"""WITH RECURSIVE {CARD_ROWS}, g AS (SELECT slug FROM mem WHERE NOT dead AND canonical_slug IN (SELECT canonical_slug FROM mem WHERE id IN ({CLICKED})))
+SELECT slug, CASE WHEN slug IN (FROM g) THEN {_STAMP} ELSE deleted_at END AS deleted_at, CASE WHEN slug IN (FROM g) THEN {_STAMP} ELSE updated_at END AS updated_at FROM reg r""")
 def deletes_applied(s: SparkSession, d: str) -> DataFrame:
-    r = registry(s, d)
-    return curate.apply_deletes(r, r.filter("id % 5 = 0"), _at()).select("slug", "deleted_at")
+    return curate.apply_deletes(cards(s, d), role(s, d, roles.CLICKED), _at()).select("slug", "deleted_at", "updated_at")
 
 
-@query(f"""WITH RECURSIVE {CANONICAL}, p AS (SELECT a.canonical_slug AS s, b.canonical_slug AS t, a.dead AS sd, b.dead AS td FROM mem a JOIN mem b ON b.id = a.id + 1 WHERE a.id % 30 = 4 AND a.canonical_slug <> b.canonical_slug)
-SELECT r.slug, coalesce((SELECT s FROM p JOIN mem m ON m.canonical_slug = p.t WHERE m.slug = r.slug), r.merged_into_slug) AS merged_into_slug,
-       CASE WHEN r.slug IN (SELECT s FROM p WHERE sd AND NOT td) THEN NULL ELSE r.deleted_at END AS deleted_at FROM reg r""")
+@query(f"""WITH RECURSIVE {CARD_ROWS},
+p AS (SELECT a.canonical_slug AS s, b.canonical_slug AS t, a.dead AS sd, b.dead AS td, k.id AS tid, k.cover_url AS cover FROM mem a JOIN mem b ON b.id = a.id + 1 JOIN reg k ON k.slug = b.canonical_slug
+      WHERE a.id % 30 = 4 AND a.canonical_slug <> b.canonical_slug)
+SELECT r.slug, coalesce(m.s, r.merged_into_slug) AS merged_into_slug, CASE WHEN q.sd AND NOT q.td THEN NULL ELSE r.deleted_at END AS deleted_at, coalesce(r.cover_url, q.cover) AS cover_url,
+       CAST(r.cover_version + CASE WHEN r.cover_url IS NULL AND q.cover IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS cover_version,
+       list_concat(['t' || (r.id % 3), 'favs'], CASE WHEN q.tid % 3 <> r.id % 3 THEN ['t' || (q.tid % 3)] ELSE [] END) AS tags,
+       CASE WHEN m.s IS NULL AND q.s IS NULL THEN r.updated_at ELSE {_STAMP} END AS updated_at
+FROM reg r JOIN mem x ON x.slug = r.slug LEFT JOIN p m ON m.t = x.canonical_slug LEFT JOIN p q ON q.s = r.slug""")
 def merges_applied(s: SparkSession, d: str) -> DataFrame:
-    r = registry(s, d)
-    merges = r.filter("id % 30 = 4").select(F.col("id").alias("survivor"), (F.col("id") + 1).alias("absorbed"))
-    return curate.apply_merges(r, merges).select("slug", "merged_into_slug", "deleted_at")
+    """Merges of which no two touch one card, since the SQL has no order; tests apply sequences."""
+    r = cards(s, d)
+    merges = r.filter("id % 30 = 4").select(F.col("id").alias("survivor"), (F.col("id") + 1).alias("absorbed"), F.col("id").alias("seq"))
+    return curate.apply_merges(r, merges, _at()).select("slug", "merged_into_slug", "deleted_at", "cover_url", F.col("cover_version").cast("long").alias("cover_version"), text.tags(F.col("tags")).alias("tags"), "updated_at")
 
 
-@query(f"SELECT slug, CASE WHEN id % 2 = 0 THEN NULL ELSE merged_into_slug END AS merged_into_slug, CASE WHEN id % 2 = 0 THEN merged_into_slug IS NOT NULL END AS was_merged FROM ({REGISTRY}) r")
+@query(f"""SELECT slug, CASE WHEN named THEN NULL ELSE merged_into_slug END AS merged_into_slug, CASE WHEN named THEN merged_into_slug IS NOT NULL END AS was_merged,
+       CASE WHEN named AND merged_into_slug IS NOT NULL THEN {_STAMP} ELSE updated_at END AS updated_at FROM (SELECT *, id IN ({CLICKED}) AS named FROM ({CARDS}) r) x""")
 def unmerges_applied(s: SparkSession, d: str) -> DataFrame:
-    r = registry(s, d)
-    return curate.apply_unmerges(r, r.filter("id % 2 = 0")).select("slug", "merged_into_slug", "was_merged")
+    return curate.apply_unmerges(cards(s, d), role(s, d, roles.CLICKED), _at()).select("slug", "merged_into_slug", "was_merged", "updated_at")
 
 
 @query("""SELECT least(a, b) AS slug_a, greatest(a, b) AS slug_b, min(ts) AS created_at, max(ts) AS updated_at
@@ -375,12 +437,14 @@ def dismissals_applied(s: SparkSession, d: str) -> DataFrame:
     return curate.apply_dismissals(e.filter("event_id % 2 = 0").drop("event_id"), e.filter("event_id % 2 = 1").drop("event_id"))
 
 
-@query("""SELECT domain, coalesce(b, a) AS title_selector FROM (SELECT lower('Host' || (s_suppkey % 30)) AS domain, arg_max(s_name, s_suppkey) FILTER (s_suppkey % 3 = 0) AS b, arg_max(s_name, s_suppkey) FILTER (s_suppkey < 30 AND s_suppkey > 0) AS a FROM supplier GROUP BY 1) x
-WHERE coalesce(b, a) IS NOT NULL""")
+@query("""SELECT lower('Host' || s_suppkey) AS domain, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_name ELSE s_name END AS title_selector, CASE WHEN s_suppkey % 3 <> 0 THEN 'nation ' || s_nationkey END AS chapter_selector FROM supplier""")
 def adapters_applied(s: SparkSession, d: str) -> DataFrame:
-    rows = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("Host"), F.col("s_suppkey") % 30).alias("domain"), F.col("s_name").alias("title_selector"), "s_suppkey")
-    current = rows.filter("s_suppkey BETWEEN 1 AND 29").select(F.lower("domain").alias("domain"), "title_selector")
-    return curate.apply_adapters(current, rows.filter("s_suppkey % 3 = 0"), "s_suppkey")
+    """All suppliers' adapters; every third is replaced, and loses the optional selector that the change doesn't name."""
+    rows = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("Host"), "s_suppkey").alias("domain"), F.col("s_name").alias("title_selector"), F.concat(F.lit("nation "), "s_nationkey").alias("chapter_selector"), "s_suppkey")
+    current = rows.select(F.lower("domain").alias("domain"), "title_selector", "chapter_selector")
+    changed = rows.filter("s_suppkey % 3 = 0").withColumns({"title_selector": F.concat(F.lit("new "), "title_selector"), "chapter_selector": F.lit(None).cast("string")})
+    earlier = changed.withColumns({"title_selector": F.lit("overruled"), "s_suppkey": F.col("s_suppkey") - 1})
+    return curate.apply_adapters(current, changed.unionByName(earlier), "s_suppkey")
 
 
 # convergence
@@ -453,12 +517,45 @@ def series_documents(s: SparkSession, d: str) -> DataFrame:
     return documents.series_docs(rows.select(doc.alias("doc"))).select("slug", F.col("canonical_name").alias("name"), F.col("cover_version").alias("version"), "deleted_at")
 
 
-@query(f"SELECT l.id, l.id::VARCHAR AS doc_id, r.slug AS series_slug, l.chapter_label, date_trunc('milliseconds', l.read_at) AS read_at FROM ({LOG}) l JOIN ({REGISTRY}) r ON r.id = l.series_id")
+@query(f"""SELECT l.id::VARCHAR AS id, r.slug AS series_slug, l.chapter_label, {NUMBER} AS chapter_number, l.source_url, l.source_domain, date_trunc('milliseconds', l.read_at) AS read_at, u.series_key
+FROM ({LOG}) l JOIN ({REGISTRY}) r ON r.id = l.series_id LEFT JOIN (SELECT id, {SQL_KEY} AS series_key FROM ({URLS}) v) u ON u.id = l.series_id""")
 def event_documents(s: SparkSession, d: str) -> DataFrame:
-    """Events exported as documents and read back."""
-    exported = documents.export_events(log(s, d), registry(s, d))
-    back = documents.event_docs(exported)
-    return back.select(F.col("id").cast("long").alias("id"), F.col("id").alias("doc_id"), "series_slug", "chapter_label", "read_at")
+    """Events exported as documents and read back, every field."""
+    return documents.event_docs(documents.export_events(_state(s, d)[1], registry(s, d)))
+
+
+@query(f"""SELECT slug, canonical_name, cover_url, CAST(cover_version AS BIGINT) AS cover_version, status, ['t' || (id % 3), 'favs'] AS tags, created_at, updated_at, deleted_at, merged_into_slug FROM ({CARDS}) r""")
+def card_documents(s: SparkSession, d: str) -> DataFrame:
+    """Registry rows exported as documents and read back, every field."""
+    return documents.series_docs(documents.export_series(cards(s, d)))
+
+
+@query("""SELECT slug_a, slug_b, date_trunc('milliseconds', min(ts)) AS created_at FROM (SELECT least('series-' || user_id, 'series-' || (event_id % 40)) AS slug_a, greatest('series-' || user_id, 'series-' || (event_id % 40)) AS slug_b, ts FROM events) x
+WHERE slug_a <> slug_b GROUP BY 1, 2""")
+def pair_documents(s: SparkSession, d: str) -> DataFrame:
+    """Dismissed pairs exported as documents and read back; those of a title with itself are dropped."""
+    a, b = F.concat(F.lit("series-"), "user_id"), F.concat(F.lit("series-"), F.col("event_id") % 40)
+    pairs = s.read.parquet(f"{d}/events.parquet").groupBy(F.least(a, b).alias("slug_a"), F.greatest(a, b).alias("slug_b")).agg(F.min("ts").alias("created_at"))
+    return documents.dismissal_docs(documents.export_pairs(pairs))
+
+
+@query(ADAPTERS.replace("CAST(s_suppkey AS STRING)", "CAST(s_suppkey AS VARCHAR)").replace("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)"))
+def adapter_documents(s: SparkSession, d: str) -> DataFrame:
+    """Adapters exported as documents and read back."""
+    return documents.adapter_docs(documents.export_adapters(role(s, d, roles.ADAPTERS)))
+
+
+@query(f"SELECT slug, md5(data) AS data_md5, 'text/html' AS content_type, cover_version FROM ({COVERS}) c")
+def cover_documents(s: SparkSession, d: str) -> DataFrame:
+    """Cover bytes exported as documents and read back."""
+    covers = role(s, d, roles.COVERS).select("slug", F.encode("data", "utf-8").alias("data"), F.lit("text/html").alias("content_type"), "cover_version")
+    return documents.cover_docs(documents.export_covers(covers)).select("slug", F.md5("data").alias("data_md5"), "content_type", "cover_version")
+
+
+@query(f"""SELECT id, canonical_name AS "canonicalName", slug AS "normalizedSlug", cover_url AS "coverUrl", cover_version AS "coverVersion", false AS "hasStoredCover", status, ['t' || (id % 3), 'favs'] AS tags,
+strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "createdAt", merged_into_slug AS "mergedIntoSlug" FROM ({CARDS}) r""")
+def present_cards(s: SparkSession, d: str) -> DataFrame:
+    return documents.present_series(cards(s, d).withColumn("cover_image", F.lit(None).cast("binary")))
 
 
 @query(f"SELECT id, series_id, chapter_label, {NUMBER} AS chapter_number, source_url, source_domain, strftime(read_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS read_at FROM ({LOG}) l")
@@ -467,11 +564,79 @@ def present_events(s: SparkSession, d: str) -> DataFrame:
 
 
 # sites and operations
-@query("SELECT DISTINCT lower(" + SQL_DOMAIN + ") AS domain, page_id FROM pages ORDER BY domain")
+_SITES = f"SELECT {SQL_DOMAIN} AS domain, arg_max(s_name, s_suppkey) AS title_selector, arg_max('nation ' || s_nationkey, s_suppkey) AS chapter_selector FROM supplier JOIN pages ON page_id = s_suppkey GROUP BY 1"
+
+
+def _sites(s: SparkSession, d: str) -> DataFrame:
+    """Adapters of the hosts of those pages that have a supplier's number."""
+    pages = s.read.parquet(f"{d}/pages.parquet").select("page_id", text.domain(F.col("url")).alias("domain"))
+    changes = s.read.parquet(f"{d}/supplier.parquet").join(pages, F.col("s_suppkey") == F.col("page_id")).select("domain", F.col("s_name").alias("title_selector"), F.concat(F.lit("nation "), "s_nationkey").alias("chapter_selector"), "s_suppkey")
+    return curate.apply_adapters(changes.select("domain", "title_selector", "chapter_selector").filter("false"), changes, "s_suppkey")
+
+
+@query(f"SELECT page_id, p.domain, title_selector, chapter_selector FROM (SELECT page_id, {SQL_DOMAIN} AS domain FROM pages) p LEFT JOIN ({_SITES}) a USING (domain)")
 def adapter_lookup(s: SparkSession, d: str) -> DataFrame:
-    pages = s.read.parquet(f"{d}/pages.parquet").select("page_id", F.lower(text.domain(F.col("url"))).alias("domain"))
-    adapters = pages.select("domain").distinct()
-    return pages.join(adapters, "domain", "left_semi").select("domain", "page_id").orderBy("domain")
+    """Every page with the adapter of its host, if there is one."""
+    pages = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    return curate.adapter_of(pages, _sites(s, d)).select("page_id", "domain", "title_selector", "chapter_selector")
+
+
+@query(f"SELECT domain, title_selector, chapter_selector FROM ({_SITES}) a ORDER BY domain")
+def adapter_list(s: SparkSession, d: str) -> DataFrame:
+    return curate.list_adapters(_sites(s, d)).select("domain", "title_selector", "chapter_selector")
+
+
+@query("""SELECT s_suppkey AS domain, CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_nationkey % 5 > s_suppkey % 5 THEN 'nation ' || s_nationkey ELSE s_name END AS title_selector, greatest(s_nationkey % 5, s_suppkey % 5) AS updated_at FROM supplier""")
+def lww_adapters(s: SparkSession, d: str) -> DataFrame:
+    """Adapters of two replicas; a newer row replaces all but the local id."""
+    rows = s.read.parquet(f"{d}/supplier.parquet")
+    local = rows.select(F.col("s_suppkey").alias("domain"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title_selector"), (F.col("s_suppkey") % 5).alias("updated_at"))
+    remote = rows.select(F.col("s_suppkey").alias("domain"), F.lit("theirs").alias("id"), F.concat(F.lit("nation "), "s_nationkey").alias("title_selector"), (F.col("s_nationkey") % 5).alias("updated_at"))
+    return sync.merge_lww(local, remote, "domain", local_only=("id",)).drop("moved")
+
+
+# sources and sinks
+@query(f"SELECT id::VARCHAR AS id, chapter_label, source_url, source_domain, read_at FROM ({LOG}) l")
+def log_append(s: SparkSession, d: str) -> DataFrame:
+    """Two overlapping appends to a log, read back: every event once."""
+    folder, events = _scratch(s, "log"), log(s, d)
+    store.append_events(events.filter("chapter_label <> 'Extra Omake'"), folder)
+    store.append_events(events, folder)
+    return store.read_log(s, folder).select("id", "chapter_label", "source_url", "source_domain", "read_at")
+
+
+@query(f"SELECT slug, CASE WHEN deleted_at IS NULL THEN canonical_name ELSE 'gone' END AS canonical_name, status, tags, updated_at FROM ({CARDS}) r")
+def registry_upsert(s: SparkSession, d: str) -> DataFrame:
+    """A registry snapshot, rows replaced by key in a second one, read back."""
+    folder = _scratch(s, "registry")
+    store.write_registry(cards(s, d), folder)
+    first = store.read_registry(s, folder)
+    store.write_registry(store.upsert(first, first.filter("deleted_at IS NOT NULL").withColumn("canonical_name", F.lit("gone")), "slug"), folder)
+    return store.read_registry(s, folder).select("slug", "canonical_name", "status", "tags", "updated_at")
+
+
+@query(f"SELECT slug, cover_version + CASE WHEN cover_version = 1 THEN 10 ELSE 0 END AS cover_version, md5(data) AS data_md5 FROM ({COVERS}) c WHERE cover_version <> 3")
+def cover_store(s: SparkSession, d: str) -> DataFrame:
+    """Covers replaced by slug, and the listed ones removed."""
+    covers = role(s, d, roles.COVERS).select("slug", F.encode("data", "utf-8").alias("data"), F.lit("text/html").alias("content_type"), "cover_version")
+    newer = covers.filter("cover_version = 1").withColumn("cover_version", F.col("cover_version") + 10)
+    return store.drop_covers(store.write_covers(newer, covers), covers.filter("cover_version = 3")).select("slug", F.col("cover_version").cast("long").alias("cover_version"), F.md5("data").alias("data_md5"))
+
+
+@query(f"SELECT id, chapter_label FROM ({LOG}) l WHERE id IN (SELECT page_id FROM pages)")
+def replica_scan(s: SparkSession, d: str) -> DataFrame:
+    """Two columns of a replica's events with listed ids."""
+    folder = _scratch(s, "replica")
+    log(s, d).write.parquet(f"{folder}/events")
+    return store.read_replica(s, folder, "events", role(s, d, roles.URLS).select("id"), ["id", "chapter_label"])
+
+
+@query(f"WITH {REPORTS} SELECT report_id::VARCHAR AS report_id, manga_name, chapter_label, source_url, cover_url, series_url, date_trunc('milliseconds', read_at) AS read_at FROM reports")
+def report_source(s: SparkSession, d: str) -> DataFrame:
+    """Reports written as JSON lines and read with their schema."""
+    folder = _scratch(s, "reports")
+    _reports(s, d).write.json(folder)
+    return store.read_reports(s, folder).select("report_id", "manga_name", "chapter_label", "source_url", "cover_url", "series_url", "read_at")
 
 
 @query(f"""WITH a AS (SELECT CASE WHEN s_suppkey = 1 THEN 'manhwaweb.com' ELSE 'site' || s_suppkey || '.com' END AS domain, s_name AS title_selector, CAST(s_nationkey AS VARCHAR) AS chapter_selector FROM supplier),
@@ -499,14 +664,14 @@ def newest_readings(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT min(ts) AS start, max(ts) + INTERVAL 5 SECOND AS "end", count(*) AS n FROM
-(SELECT ts, sum(CASE WHEN ts < p + INTERVAL 5 SECOND THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS g FROM (SELECT ts, lag(ts) OVER (ORDER BY ts) AS p FROM events) x) y GROUP BY g""")
+(SELECT ts, sum(CASE WHEN ts <= p + INTERVAL 5 SECOND THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS g FROM (SELECT ts, lag(ts) OVER (ORDER BY ts) AS p FROM events) x) y GROUP BY g""")
 def burst_sessions(s: SparkSession, d: str) -> DataFrame:
     return streams.collapse_bursts(s.read.parquet(f"{d}/events.parquet"))
 
 
 @query(f"WITH r AS (SELECT *, {NUMBER} AS num, CASE WHEN {NUMBER} IS NULL THEN chapter_label END AS txt FROM ({LOG}) l) SELECT id, series_id, num AS chapter_number, source_domain FROM r")
 def stream_ingest(s: SparkSession, d: str) -> DataFrame:
-    """The log through a stream: conformed micro-batch by micro-batch, appended, and read back. It does not ingest; streams.stream_reports does."""
+    """The log through a stream: conformed micro-batch by micro-batch, appended, and read back; ``stream_reports`` ingests."""
     out = _scratch(s, "ingest")
     rows = streams.read_table_stream(s, d, "events.parquet", s.read.parquet(f"{d}/events.parquet").schema)
     s.conf.set("spark.sql.streaming.checkpointLocation", f"{out}/marks")
@@ -526,6 +691,16 @@ def stream_library(s: SparkSession, d: str) -> DataFrame:
     return library.library(registry(s, d), s.read.parquet(f"{out}/log").drop("batch"))
 
 
+@query()
+def stream_reports(s: SparkSession, d: str) -> DataFrame:
+    """Whole ingestion on a stream of reports; tests hold it against one batch."""
+    out = _scratch(s, "reports")
+    _reports(s, d).coalesce(1).write.parquet(f"{out}/in")
+    stream = streams.read_table_stream(s, f"{out}/in", "*.parquet", _reports(s, d).schema)
+    streams.stream_reports(stream, *_state(s, d), f"{out}/left", f"{out}/marks")
+    return s.read.parquet(f"{out}/left/outcomes").select("report_id", "target", "via", "series_id", "event_id", "created", "cover_changed", "revived", "changed")
+
+
 def _scratch(s: SparkSession, name: str) -> str:
     import uuid
 

@@ -15,9 +15,17 @@ REGISTRY = """SELECT id, concat('series-', id) AS slug, id AS created_ord,
             WHEN id % 3 = 0 AND id > 0 THEN concat('series-', CAST(floor(id / 3) AS BIGINT)) END AS merged_into_slug,
        CASE WHEN id % 13 = 5 THEN TIMESTAMP '2024-02-01 00:00:00' END AS deleted_at
 FROM (SELECT DISTINCT user_id AS id FROM {events}) u"""
-TITLES = "SELECT doc_id AS id, substring(split_part(text, chr(10), 1), 1, 60) AS canonical_name FROM {documents}"
-#: The whole first line. TITLES has its first 60 characters, as the SQL of the queries over it does.
-WHOLE_TITLES = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS canonical_name FROM {documents}"
+#: Whole first lines of documents, and whole titles of web pages.
+LINES = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS canonical_name FROM {documents}"
+TITLES = "SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS canonical_name FROM {pages}"
+#: The registry with the columns that curation changes.
+CARDS = f"""SELECT r.*, concat('Series ', id) AS canonical_name, CASE WHEN id % 2 = 0 THEN concat('https://img.example.com/', id) END AS cover_url, CAST(id % 4 AS INT) AS cover_version,
+       CASE id % 4 WHEN 1 THEN 'completed' WHEN 2 THEN 'dropped' ELSE 'reading' END AS status, concat('["t', id % 3, '","favs"]') AS tags,
+       TIMESTAMP '2024-01-15 00:00:00' AS created_at, TIMESTAMP '2024-01-20 00:00:00' AS updated_at FROM ({REGISTRY}) r"""
+#: Series whose log starts with a click.
+CLICKED = "SELECT user_id AS id FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events}) e WHERE rn = 1 AND event_type = 'click'"
+ADAPTERS = """SELECT CAST(s_suppkey AS STRING) AS id, concat('site', s_suppkey, '.com') AS domain, s_name AS title_selector, CASE WHEN s_nationkey % 2 = 0 THEN concat('n', s_nationkey) END AS chapter_selector,
+       CAST(NULL AS STRING) AS chapter_url_regex, TIMESTAMP '2024-01-15 00:00:00' AS created_at, TIMESTAMP '2024-01-20 00:00:00' AS updated_at FROM {supplier}"""
 SHORT_TITLES = "SELECT DISTINCT replace(p_name, ' ', '-') AS slug FROM {part}"
 URLS = "SELECT page_id AS id, url FROM {pages}"
 COVERS = "SELECT concat('page-', page_id) AS slug, page_id % 4 AS cover_version, html AS data FROM {pages}"

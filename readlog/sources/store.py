@@ -1,12 +1,14 @@
 """Sources and sinks: reports, the registry and the log, replicas, covers.
 
-Snapshots are written to a new directory and become current when a pointer file names them, so readers never see half
-a snapshot. The log is append-only and partitioned by day. All paths go through Hadoop's file system API or Spark's
+Snapshots are written to a new directory and become current when a marker names them. Markers are only added, and the
+last one counts, so readers never see half a snapshot or none. The log is append-only and partitioned by day. All paths go through Hadoop's file system API or Spark's
 readers and writers, so any store that Spark reaches will do.
 """
 
 from __future__ import annotations
 
+import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +23,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="readlog-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="readlog-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -47,9 +52,11 @@ def append_events(events: DataFrame, folder: str) -> None:
     """Append the events whose id isn't in the log yet; of rows with one id the earliest counts."""
     spark, path = events.sparkSession, f"{folder}/events"
     new = conform(events, schemas.EVENTS).groupBy("id").agg(F.min_by(F.struct("*"), F.struct("read_at", "series_id", "chapter_label")).alias("e")).select("e.*")
-    if _exists(spark, path):
-        new = new.join(spark.read.parquet(path).select("id"), "id", "left_anti")
-    new.withColumn("read_date", F.to_date("read_at")).write.mode("append").partitionBy("read_date").parquet(path)
+    new = new.withColumn("read_date", F.to_date("read_at"))
+    if _exists(spark, path):  # an event keeps its time, so only the days of the batch are read
+        days = new.select("read_date").distinct()
+        new = new.join(spark.read.parquet(path).select("id", "read_date").join(F.broadcast(days), "read_date", "left_semi"), ["id", "read_date"], "left_anti")
+    new.write.mode("append").partitionBy("read_date").parquet(path)
 
 
 def _path(spark: SparkSession, path: str):
@@ -67,13 +74,15 @@ def write_snapshot(df: DataFrame, folder: str, name: str) -> str:
     """Write a whole table and make it current; returns its directory."""
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{folder}/{name}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/_current")
+    fs, marker = _path(spark, f"{folder}/{name}/_current/{time.time_ns():020d}-{version}")
+    fs.create(marker, False).close()
     return f"{folder}/{name}/{version}"
 
 
 def read_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{folder}/{name}/_current").first()[0]
-    return spark.read.parquet(f"{folder}/{name}/{version}")
+    fs, markers = _path(spark, f"{folder}/{name}/_current")
+    last = max(x.getPath().getName() for x in fs.listStatus(markers) if "-" in x.getPath().getName())
+    return spark.read.parquet(f"{folder}/{name}/{last.split('-')[1]}")
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -125,6 +125,8 @@ def test_blocking_loses_no_pair(spark):
 def titled(spark, tmp_path, texts):
     folder = str(tmp_path)
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    pages = [(i, f"<html><head><title>{t}</title></head></html>") for i, t in enumerate(texts)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
 
 
@@ -170,9 +172,26 @@ def test_ingest(spark):
         (1, "solo-leveling", "slug", False), (2, "solo-leveling", "slug", True), (3, "solo-leveling", "key", False), (4, "solo-leveling", "title", True), (5, "old", "slug", True), (7, "brand-new", "new", True),
     ]
     assert sorted((x["slug"], x["canonical_name"], x["merged_into_slug"]) for x in out["new_series"].collect()) == [("brand-new", "Brand New", None), ("solo-levelling", "Solo Levelling", "solo-leveling")]
-    assert [tuple(x) for x in out["covers"].collect()] == [("solo-leveling", "https://img/1")]
+    assert [tuple(x) for x in out["covers"].collect()] == [("solo-leveling", "https://img/1", 2, at(11))]
     assert [x[0] for x in out["revived"].collect()] == ["old"]
     assert out["appended"].count() == 4
+    told = {x["report_id"]: x for x in out["outcomes"].collect()}
+    assert {k for k, x in told.items() if x["cover_changed"]} == {2} and {k for k, x in told.items() if x["revived"]} == {5} and {k for k, x in told.items() if x["changed"]} == {2, 4, 5, 7}
+    assert told[1]["event_id"] == "0" and told[3]["event_id"] == told[2]["event_id"] != told[4]["event_id"] and told[1]["series_id"] == "0"
+    assert sorted(x["report_id"] for x in streams.change_feed(out["outcomes"]).collect()) == [2, 4, 5, 7]
+
+
+def test_state_after_ingestion(spark):
+    r = registry(spark, [("a-title", None, False), ("old-title", None, True)]).withColumns({"cover_url": F.lit(None).cast("string"), "cover_version": F.lit(3), "updated_at": F.lit(at(0)).cast("timestamp"), "canonical_name": F.lit("x")})
+    events = log(spark, [(0, "Cap. 1", "a.com", 1)]).withColumn("series_key", F.lit(None).cast("string"))
+    rows = [(1, "A Title", "Cap. 2", "https://a.com/2", "https://img/1", None, at(5)), (2, "Old Title", "Cap. 1", "https://a.com/3", None, None, at(6)), (3, "Unheard Of", "Cap. 1", "https://a.com/4", "https://img/2", None, at(7))]
+    result = ingest.ingest(spark.createDataFrame(rows, REPORTS), r, events)
+    after, log_after = ingest.applied(r, events, result)
+    got = {x["slug"]: (x["canonical_name"], x["cover_url"], x["cover_version"], x["updated_at"], x["deleted_at"]) for x in after.collect()}
+    assert got == {"a-title": ("x", "https://img/1", 4, at(5), None), "old-title": ("x", None, 3, at(6), None), "unheard-of": ("Unheard Of", "https://img/2", 1, at(7), None)}
+    assert log_after.count() == 4
+    again = ingest.ingest(spark.createDataFrame(rows, REPORTS), after, log_after)["outcomes"]
+    assert again.filter("changed").count() == 0 and {x["event_id"] for x in again.collect()} == {x["id"] for x in result["appended"].collect()}
 
 
 REPORTS = "report_id long, manga_name string, chapter_label string, source_url string, cover_url string, series_url string, read_at timestamp"
@@ -221,18 +240,118 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_curation(spark):
-    r = registry(spark, [("a", None, False), ("b", "a", False), ("c", None, True), ("d", None, False)])
+    r = registry(spark, [("a", None, False), ("b", "a", False), ("c", None, True), ("d", None, False)]).withColumn("updated_at", F.lit(at(0)).cast("timestamp"))
+    now = F.lit(at(9)).cast("timestamp")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
-    gone = {x["slug"]: x["deleted_at"] is not None for x in curate.apply_deletes(r, ids(1, 99), F.lit(at(9))).collect()}
-    assert gone == {"a": True, "b": True, "c": True, "d": False}
-    merged = {x["slug"]: (x["merged_into_slug"], x["deleted_at"]) for x in curate.apply_merges(r, spark.createDataFrame([(2, 1)], "survivor long, absorbed long")).collect()}
-    assert merged == {"a": ("c", None), "b": ("c", None), "c": (None, None), "d": (None, None)}
-    unmerged = {x["slug"]: (x["merged_into_slug"], x["was_merged"]) for x in curate.apply_unmerges(r, ids(1, 3)).collect()}
-    assert unmerged == {"a": (None, None), "b": (None, True), "c": (None, None), "d": (None, False)}
+    gone = {x["slug"]: (x["deleted_at"] is not None, x["updated_at"]) for x in curate.apply_deletes(r, ids(1, 99), now).collect()}
+    assert gone == {"a": (True, at(9)), "b": (True, at(9)), "c": (True, at(0)), "d": (False, at(0))}
+    merged = {x["slug"]: (x["merged_into_slug"], x["deleted_at"], x["updated_at"]) for x in curate.apply_merges(r, spark.createDataFrame([(2, 1)], "survivor long, absorbed long"), now).collect()}
+    assert merged == {"a": ("c", None, at(9)), "b": ("c", None, at(9)), "c": (None, None, at(9)), "d": (None, None, at(0))}
+    unmerged = {x["slug"]: (x["merged_into_slug"], x["was_merged"], x["updated_at"]) for x in curate.apply_unmerges(r, ids(1, 3), now).collect()}
+    assert unmerged == {"a": (None, None, at(0)), "b": (None, True, at(9)), "c": (None, None, at(0)), "d": (None, False, at(0))}
     covers = spark.createDataFrame([("a", b"x", "image/png"), ("b", b"", "image/png"), ("c", b"x", "text/html"), ("d", None, None)], "slug string, data binary, content_type string")
     assert [x["error"] for x in curate.check_covers(covers).orderBy("slug").collect()] == [None, "empty", "type", "type"]
 
 
+def test_merges_in_sequence(spark):
+    """Against merges applied one by one."""
+    r = random.Random(4)
+    for trial in range(2):
+        n = 14
+        rows = [{"slug": f"s{i}", "to": None, "dead": r.random() < 0.3, "cover": f"u{i}" if r.random() < 0.4 else None, "version": 0, "tags": [f"t{i % 3}", f"x{i}"]} for i in range(n)]
+        rows[3]["to"] = "s2"
+        frame = spark.createDataFrame([(i, x["slug"], i, x["to"], at(0) if x["dead"] else None, x["cover"], 0, x["tags"]) for i, x in enumerate(rows)], "id long, slug string, created_ord long, merged_into_slug string, deleted_at timestamp, cover_url string, cover_version int, tags array<string>")
+        merges = [(r.randrange(n), r.randrange(n), k) for k in range(9)]
+        by = {x["slug"]: x for x in rows}
+        top = lambda x: x if x["to"] is None else top(by[x["to"]])  # noqa: B023, E731
+        for s, a, _ in merges:
+            keep, gone = top(rows[s]), top(rows[a])
+            if keep is gone:
+                continue
+            for x in [x for x in rows if top(x) is gone]:
+                x["to"] = keep["slug"]
+            if keep["cover"] is None and gone["cover"] is not None:
+                keep["cover"], keep["version"] = gone["cover"], keep["version"] + 1
+            keep["tags"] = list(dict.fromkeys(keep["tags"] + gone["tags"]))
+            keep["dead"] = keep["dead"] and gone["dead"]
+        got = curate.apply_merges(frame, spark.createDataFrame(merges, "survivor long, absorbed long, seq long"), F.lit(at(9)).cast("timestamp")).orderBy("id").collect()
+        assert [(x["slug"], x["merged_into_slug"], x["deleted_at"] is not None, x["cover_url"], x["cover_version"], x["tags"]) for x in got] == [(x["slug"], x["to"], x["dead"], x["cover"], x["version"], x["tags"]) for x in rows], trial
+
+
+def greedy(a, b):
+    """(score, token score, sequel) of two slugs, pair by pair."""
+    from readlog.schemas import SEQUEL_MARKERS, TOKEN_MATCH
+
+    def edit(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return 1 - row[-1] / max(len(x), len(y)) if x or y else 1.0
+
+    ta, tb = ([t for t in x.split("-") if t] for x in (a, b))
+    if a == b:
+        return 1.0, None, False
+    if not ta or not tb:
+        return edit(a, b), 0.0, False
+    ranked = sorted((-edit(x, y), *sorted((x, y)), i, j) for i, x in enumerate(ta) for j, y in enumerate(tb) if edit(x, y) >= TOKEN_MATCH)
+    used_a, used_b, weight = set(), set(), 0.0
+    for o, _, _, i, j in ranked:
+        if i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            weight -= o * (len(ta[i]) + len(tb[j])) / 2
+    token = 2 * weight / (sum(map(len, ta)) + sum(map(len, tb)))
+    rest = [t for i, t in enumerate(ta) if i not in used_a] + [t for j, t in enumerate(tb) if j not in used_b]
+    return max(token, edit(a, b)), token, any(t in SEQUEL_MARKERS for t in rest)
+
+
+def test_title_scores_are_those_of_a_greedy_model(spark):
+    r = random.Random(12)
+    vocabulary = ["solo", "leveling", "levelling", "season", "2", "ii", "dragon", "dragons", "dragoon", "origin", "origins", "a", "the", "kingdom", "kingdoms"]
+    slugs = ["-".join(r.choice(vocabulary) for _ in range(r.randint(1, 5))) for _ in range(60)] + ["-", "a-"]
+    pairs = [(r.choice(slugs), r.choice(slugs)) for _ in range(400)]
+    rows = similarity.with_similarity(spark.createDataFrame(pairs, "slug_a string, slug_b string")).collect()
+    assert len(rows) == len(pairs)
+    for x in rows:
+        score, token, sequel = greedy(x["slug_a"], x["slug_b"])
+        assert x["score"] == pytest.approx(score) and x["sequel"] == sequel, (x["slug_a"], x["slug_b"])
+        assert token is None or x["token_score"] == pytest.approx(token)
+
+
+def test_restore_and_slugs_of_events(spark):
+    series = spark.createDataFrame([("7", "x", "their x", 5), ("8", "y", "their y", 1)], "id string, slug string, canonical_name string, updated_at long")
+    events = spark.createDataFrame([("e1", "x", "Cap. 1"), ("e2", "gone", "Cap. 2")], "id string, series_slug string, chapter_label string")
+    covers = spark.createDataFrame([("x", 2, b"bytes")], "slug string, cover_version int, data binary")
+    mine = {"series": spark.createDataFrame([("1", "x", "my x", 9)], series.schema), "events": spark.createDataFrame([("e0", "1", "Cap. 0")], "id string, series_id string, chapter_label string")}
+    theirs = {"series": series, "events": events, "covers": covers}
+    both = sync.sync(mine, theirs)
+    assert {x["slug"]: (x["id"], x["canonical_name"]) for x in both["series"].collect()}["x"] == ("1", "my x")
+    assert sorted((x["id"], x["series_id"]) for x in both["events"].collect()) == [("e0", "1"), ("e1", "1")]
+    assert [x["slug"] for x in both["push_series"].collect()] == ["x"]
+    with pytest.raises(ValueError):
+        sync.restore(mine, theirs)
+    back = sync.restore(mine, theirs, force=True)
+    assert set(back) == {"series", "events", "covers"}
+    assert sorted((x["slug"], x["canonical_name"]) for x in back["series"].collect()) == [("x", "their x"), ("y", "their y")]
+    assert [x["id"] for x in back["events"].collect()] == ["e1"] and [bytes(x["data"]) for x in back["covers"].collect()] == [b"bytes"]
+
+
+def test_bursts_over_hours(spark):
+    r = random.Random(3)
+    times = sorted(T0 + dt.timedelta(seconds=r.choice([r.randrange(0, 4 * 3600), 3600 * r.randrange(1, 4) + r.randrange(-6, 6)])) for _ in range(900))
+    want, start, last, n = [], times[0], times[0], 0
+    for t in times:
+        if (t - last).total_seconds() > 5:
+            want.append((start, last + dt.timedelta(seconds=5), n))
+            start, n = t, 0
+        last, n = t, n + 1
+    want.append((start, last + dt.timedelta(seconds=5), n))
+    got = streams.collapse_bursts(spark.createDataFrame([(t,) for t in times], "ts timestamp")).collect()
+    assert sorted((x["start"], x["end"], x["n"]) for x in got) == want
+
+
 def test_sync_converges(spark):
     schema = "slug string, status string, updated_at long"
     a = spark.createDataFrame([("x", "a", 1), ("y", "a", 5), ("z", "a", 3)], schema)
