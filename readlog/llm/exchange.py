@@ -3,7 +3,8 @@
 Corpus-wide matching needs one look at every window of every document. Windows are hashed where the text is, and each
 block sends each bucket one packed array of what it has there; Spark shuffles and groups those messages. Blocks and
 buckets hold a fixed number of bytes, so their count grows with the corpus and no task does. A block sends a value
-once however often it occurs there, which bounds what a frequent value costs a bucket.
+once however often it occurs there, which bounds what a frequent value costs a bucket. It sends a message only to those
+buckets for which it has a value, so messages are as many as its values at most, however many buckets there are.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ class Plan:
 
 
 def in_blocks(docs: DataFrame, block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, Plan]:
-    """doc_id, text, blk for every row. Copies of an id meet in a block; a null id ranks after all others."""
+    """doc_id, text, blk for every row. Copies of an id meet in a block; a null id ranks after all others, and as two of
+    them never concern one another, such rows are dealt by their texts."""
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     size = (total or 0) + 64 * rows
     plan = Plan(int(size // block_bytes) + 1, int(size // bucket_bytes) + 1)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(key), F.lit(plan.blocks)).cast("int").alias("blk")), plan
 
 
@@ -130,11 +132,10 @@ def with_answers(blocks: DataFrame, answers: DataFrame, make: Callable[[int, Blo
     return blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(run, schema)
 
 
-def split_by(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by bucket, and where each bucket starts in it."""
-    kind = np.uint16 if buckets <= 1 << 16 else np.int64
-    order = np.argsort(bucket.astype(kind), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def used_buckets(ordered: np.ndarray) -> Iterable[tuple[int, int, int]]:
+    """(bucket, begin, end) of the buckets that occur in an ordered array; the others cost nothing."""
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return zip(ordered[first].tolist(), first.tolist(), np.append(first[1:], len(ordered)).tolist(), strict=True)
 
 
 def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

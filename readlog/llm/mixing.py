@@ -8,7 +8,7 @@ first ``quota`` are taken, and whole passes come first. A hot source only has mo
 
 Everything runs on DataFrame functions. The texts are read once; the table of sizes is checkpointed.
 
-Cases: null text has size 0 and is never taken; null source is a source of its own, last in order; repeated rows are
+Cases: null text has size 0 and is never taken; a very long text may be taken in part, its first words; null source is a source of its own, last in order; repeated rows are
 mixed as rows of their own, and rows equal in (doc_id, size) may swap their parts; an empty table gives no rows; only
 ``doc_id``, ``text`` and ``source`` are read.
 """

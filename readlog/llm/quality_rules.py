@@ -4,7 +4,8 @@ Word, symbol, line and repetition counts come from built-in array and string fun
 then becomes one integer comparison of two counts, and all of them are evaluated in a single projection. There is no
 shuffle, no user function and no state, so the work is a scan of the texts whatever their distribution.
 
-Cases: a null text counts as empty and fails ``min_words``; repeated rows are judged one by one; columns of the
+Cases: a null text counts as empty and fails ``min_words``; a very long text is counted whole; an empty table gives no
+rows; a count on a threshold passes; repeated rows are judged one by one; columns of the
 input other than ``doc_id`` and ``text`` are neither read nor returned by ``quality_counts``; ``apply_rules`` keeps
 the input's columns whatever their names, as it works on a struct of its own.
 """

@@ -10,9 +10,10 @@ A block of documents sends each value once, whatever its frequency, and windows
 passage that a third of all documents share loads no task more than another. Window hashes have 64 bits; two different windows
 are taken for equal with a probability of about 5e-20 a pair.
 
-Cases: null or empty text has no words and the hash of the empty string; fewer than 50 words are never removed; rows
-with equal doc_id remove nothing from one another; a null doc_id ranks last and neither removes nor is removed
-by another null; extra columns are not read, and ``remove_repeats`` keeps them.
+Cases: null or empty text has no words and the hash of the empty string; fewer than 50 words are never removed; a very
+long text is read whole, a part at a time; rows with equal doc_id remove nothing from one another; a null doc_id ranks
+last and neither removes nor is removed by another null; an empty table gives no rows; extra columns, whatever their
+names, are not read, and ``remove_repeats`` keeps them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlog.llm import textnum
-from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_buckets, in_blocks, member, message_table, pack, split_by, unpack, with_answers
+from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_buckets, in_blocks, member, message_table, pack, unpack, used_buckets, with_answers
 from readlog.llm.storage import documents
 
 WINDOW, ANCHOR = 50, 25
@@ -56,18 +57,6 @@ class Words:
         return start, hashes[start]
 
 
-def three_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered 32-bit values as counts of the high byte and the three low bytes of each."""
-    return np.bincount(values >> np.uint32(24), minlength=256).astype(np.uint32), values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].ravel()
-
-
-def four_bytes(counts: np.ndarray, low: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(low) // 3, 4), np.uint8)
-    out[:, :3] = low.reshape(-1, 3)
-    out[:, 3] = np.repeat(np.arange(256, dtype=np.uint8), counts)
-    return out.ravel().view("<u4")
-
-
 def probes(block: Block, plan: Plan, anchor: int) -> Iterable[tuple[int, bytes]]:
     """To each bucket: this block's window values, by (aligned, in several documents)."""
     values, aligned, docs = [], [], []
@@ -86,21 +75,17 @@ def probes(block: Block, plan: Plan, anchor: int) -> Iterable[tuple[int, bytes]]
     several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
     indexed = np.logical_or.reduceat(is_block, first)
     value = value[first]  # in order, so buckets and low halves are too
-    edge = np.searchsorted(bucket_of(value, plan.buckets), np.arange(plan.buckets + 1))
-    low = value.astype(np.uint32)
-    for b in range(plan.buckets):
-        part = slice(edge[b], edge[b + 1])
-        if edge[b] < edge[b + 1]:
-            lists = [np.sort(low[part][(indexed[part] == x) & (several[part] == y)]) for x in (False, True) for y in (False, True)]
-            yield b, pack(*(x for a in lists for x in three_bytes(a)))
+    bucket, low = bucket_of(value, plan.buckets), value.astype("<u4")
+    for b, begin, end in used_buckets(bucket):
+        part = slice(begin, end)
+        yield b, pack(*(low[part][(indexed[part] == x) & (several[part] == y)] for x in (False, True) for y in (False, True)))
 
 
 def live_values(messages: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
     """To each block: those of its values that are an aligned block somewhere and occur in two documents."""
     read = []
     for blk, data in messages:
-        parts = unpack(data, *[np.uint32, np.uint8] * 4)
-        read.append((blk, [four_bytes(parts[2 * i], parts[2 * i + 1]) for i in range(4)]))
+        read.append((blk, unpack(data, *[np.uint32] * 4)))
     indexed = np.unique(np.concatenate([x for _, lists in read for x in lists[2:]]))
     seen = np.zeros(len(indexed), np.int32)
     for _, lists in read:
@@ -132,13 +117,13 @@ def candidates(block: Block, answers: list[tuple[int, bytes]], plan: Plan, windo
         words_at.append((before + start).astype(np.uint32))
         before += words.n
     value, doc, word = map(np.concatenate, (hashes, docs, words_at))
-    order, edge = split_by(bucket_of(value, plan.buckets), plan.buckets)
-    value, doc, word = value[order], doc[order], word[order]
-    for b in range(plan.buckets):
-        part = slice(edge[b], edge[b + 1])
-        if edge[b] < edge[b + 1]:
-            change = np.flatnonzero(np.concatenate([[True], doc[part][1:] != doc[part][:-1], [True]]))
-            yield b, pack(value[part], word[part], doc[part][change[:-1]], np.diff(change).astype(np.uint32))
+    bucket = bucket_of(value, plan.buckets)
+    order = np.argsort(bucket, kind="stable")
+    value, doc, word, bucket = value[order], doc[order], word[order], bucket[order]
+    for b, begin, end in used_buckets(bucket):
+        part = slice(begin, end)
+        change = np.flatnonzero(np.concatenate([[True], doc[part][1:] != doc[part][:-1], [True]]))
+        yield b, pack(value[part], word[part], doc[part][change[:-1]], np.diff(change).astype(np.uint32))
 
 
 def repeated(messages: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:

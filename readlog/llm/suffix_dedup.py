@@ -10,8 +10,9 @@ Hot passages: equal strings are one string. A least hash with more than ``hot_st
 at the edge of a passage which a third of all documents share, is dealt again, window by window, by the hash of the
 whole window, so no task gets a group that grows with the corpus.
 
-Cases: null or empty text has no bytes and the hash of the empty string; fewer than 50 bytes are never removed; rows with
-equal doc_id remove nothing from one another; a null doc_id ranks last; extra columns are not read.
+Cases: null or empty text has no bytes and the hash of the empty string; fewer than 50 bytes are never removed; a very
+long text is read whole; rows with equal doc_id remove nothing from one another; a null doc_id ranks last and neither
+removes nor is removed by another null; an empty table gives no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from readlog.llm import bwt, textnum
-from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_buckets, in_blocks, member, message_table, pack, split_by, unpack, with_answers
+from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_buckets, in_blocks, member, message_table, pack, unpack, used_buckets, with_answers
 from readlog.llm.storage import documents
 
 WINDOW, GRAM = 50, 16
@@ -104,13 +105,10 @@ def least_hashes(block: Block, plan: Plan, window: int, gram: int) -> Iterable[t
     different = np.concatenate([[True], (content[1:] != content[:-1]) | (least[1:] != least[:-1])])
     count = np.add.reduceat(different.astype(np.int64), first)
     least = least[first]
-    edge = np.searchsorted(bucket_of(least, plan.buckets), np.arange(plan.buckets + 1))
     low, plain = least.astype(np.uint32), ~several & (count == 1)
-    for b in range(plan.buckets):
-        part = slice(edge[b], edge[b + 1])
-        if edge[b] < edge[b + 1]:
-            p = plain[part]
-            yield b, pack(low[part][p], low[part][~p], np.minimum(count[part][~p], 65535).astype(np.uint16), several[part][~p])
+    for b, begin, end in used_buckets(bucket_of(least, plan.buckets)):
+        part, p = slice(begin, end), plain[begin:end]
+        yield b, pack(low[part][p], low[part][~p], np.minimum(count[part][~p], 65535).astype(np.uint16), several[part][~p])
 
 
 def shared_hashes(messages: list[tuple[int, bytes]], hot_strings: int) -> Iterable[tuple[int, bytes]]:
@@ -159,11 +157,8 @@ def send_strings(block: Block, answers: list[tuple[int, bytes]], plan: Plan, win
     bucket = bucket_of(group, plan.buckets)
     order = np.lexsort((cold.start, cold.content, bucket))
     cold, bucket = cold.take(order), bucket[order]
-    edge = np.searchsorted(bucket, np.arange(plan.buckets + 1))
-    for b in range(plan.buckets):
-        if edge[b] == edge[b + 1]:
-            continue
-        own = cold.take(np.arange(edge[b], edge[b + 1]))
+    for b, begin, end in used_buckets(bucket):
+        own = cold.take(np.arange(begin, end))
         first = _firsts(own.content)
         data = block.data[_spread(own.start[first], own.length[first])]
         yield b, pack(own.least[first].astype(np.uint32), own.length[first].astype(np.uint8), data, np.diff(np.append(first, len(own.row))).astype(np.uint32), block.keys[own.row], own.start.astype(np.uint32))
