@@ -112,7 +112,8 @@ def forward(table: Table, n: int, probability: np.ndarray) -> np.ndarray:
             alpha[at] += alpha[at - k] * probability[piece]
         if at % 16 == 0 or at == size:  # rescale what later places read
             scale = np.maximum(alpha[at], 1e-280)
-            alpha[: at + 1] /= scale
+            with np.errstate(over="ignore"):  # an infinite value would make places without a piece undefined
+                alpha[: at + 1] = np.minimum(alpha[: at + 1] / scale, 1e290)
             log += np.log(scale)
     return log
 
