@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import binary_packing, language_id, mixing, near_dedup, oracle, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, clustering, language_id, mixing, near_dedup, oracle, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op12_centroid_clustering": clustering.op12_centroid_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return oracle.SQL | {"op12_centroid_clustering": clustering.oracle()}
