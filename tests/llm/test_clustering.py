@@ -53,14 +53,14 @@ def test_nearest_is_exact_with_ties(k, dim, top):
 
 
 def test_walk_stops_early():
-    """Well-parted centroids: the first frontier settles nearly every vector."""
+    """Well-parted centroids: the nearest and a neighbour on either side are computed, of fifty."""
     r = np.random.default_rng(1)
     centroids = 1000 * np.arange(50)[:, None] + r.integers(0, 9, (50, 16))
     values = centroids[r.integers(0, 50, 2000)] + r.integers(-20, 20, (2000, 16))
     number, best, computed = clustering.nearest(values, centroids)
     apart = ((values[:, None] - centroids[None]) ** 2).sum(2)
     assert (number == apart.argmin(1)).all() and (best == apart.min(1)).all()
-    assert computed < 2 * 2000
+    assert computed <= 3 * 2000
 
 
 def test_kmeans_against_plain(spark):
