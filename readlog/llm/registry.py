@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import binary_packing, clustering, language_id, mixing, near_dedup, oracle, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, clustering, language_id, license_scan, mixing, near_dedup, oracle, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
         "op12_centroid_clustering": clustering.op12_centroid_clustering,
+        "op13_license_scan": license_scan.op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | {"op12_centroid_clustering": clustering.oracle()}
+    return oracle.SQL | {"op12_centroid_clustering": clustering.oracle(), "op13_license_scan": license_scan.oracle()}
