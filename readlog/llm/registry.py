@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlog.llm import binary_packing, clustering, language_id, license_scan, mixing, near_dedup, oracle, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, clustering, language_id, license_scan, mixing, near_dedup, oracle, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup, token_alignment
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
         "op12_centroid_clustering": clustering.op12_centroid_clustering,
         "op13_license_scan": license_scan.op13_license_scan,
     }
