@@ -598,10 +598,11 @@ def lww_adapters(s: SparkSession, d: str) -> DataFrame:
 # sources and sinks
 @query(f"SELECT id::VARCHAR AS id, chapter_label, source_url, source_domain, read_at FROM ({LOG}) l")
 def log_append(s: SparkSession, d: str) -> DataFrame:
-    """Two overlapping appends to a log, read back: every event once."""
+    """Overlapping appends to a log, read back: every event once, though the last append has all of them on other days."""
     folder, events = _scratch(s, "log"), log(s, d)
     store.append_events(events.filter("chapter_label <> 'Extra Omake'"), folder)
     store.append_events(events, folder)
+    store.append_events(events.withColumn("read_at", F.date_add("read_at", (1 + F.col("id") % 3).cast("int"))), folder)
     return store.read_log(s, folder).select("id", "chapter_label", "source_url", "source_domain", "read_at")
 
 
