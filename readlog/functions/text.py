@@ -81,10 +81,14 @@ def _parts(template: str) -> list[str]:
     return [x for x in (before, mark, after) if x]
 
 
+def names_site(title_slug: Column, host_slug: Column) -> Column:
+    """Whether a title's slug only names the site."""
+    return F.coalesce((host_slug != UNKNOWN_TITLE) & (host_slug != "") & (title_slug == host_slug), F.lit(False))
+
+
 def site_name_title(title: Column, url: Column) -> Column:
     """Whether the title only names the site."""
-    host = slug(F.regexp_replace(domain(url), r"^www\.", ""))
-    return F.coalesce((domain(url) != "") & (host != UNKNOWN_TITLE) & (host != "") & (slug(title) == host), F.lit(False))
+    return names_site(slug(title), slug(F.regexp_replace(domain(url), r"^www\.", "")))
 
 
 def tags(json: Column) -> Column:

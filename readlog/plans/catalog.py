@@ -301,7 +301,7 @@ _RESOLVED = f"{REPORTS}, r AS (SELECT *, {sql_slug('manga_name')} AS slug, {NUMB
 
 def _ingested(s: SparkSession, d: str, log_rows: DataFrame | None = None) -> DataFrame:
     """Reports under their own slug as target, for the steps that follow resolution."""
-    rows = checkpoint(ingest.prepared(ingest.validate(_reports(s, d)).filter(F.size("errors") == 0)))  # read several times
+    rows = checkpoint(ingest.prepared(ingest.validate(ingest.named(_reports(s, d))).filter(F.size("errors") == 0)))  # read several times
     return rows.withColumn("target", F.col("slug")).withColumn("via", F.lit("new"))
 
 
