@@ -12,29 +12,23 @@ from readlog.sources.store import checkpoint
 def resolve_canonical(registry: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """slug, canonical_slug: follow merged_into_slug.
 
-    A null or dangling pointer ends at the current row; coming upon a row seen before, or more than hops - 1 steps,
-    ends at the start. Only rows that still move are joined, a (slug, pointer) frame a round.
+    A null or dangling pointer ends at the current row. A way that comes upon a row again has no end, and one of ``hops``
+    steps or more is too long: both end at the start. So pointers are doubled, with the steps that each stands for, until they
+    span ``hops`` steps (5 jobs for 16) or none moves, and count where they stand at an end and the way was short enough.
     """
     nodes = registry.select("slug", F.col("merged_into_slug").alias("to"))
-    edges = checkpoint(nodes.join(nodes.select(F.col("slug").alias("to")), "to", "left_semi").select("slug", "to"))
-    moving = edges.select("slug", F.col("to").alias("at"), F.array("slug", "to").alias("path")).withColumn("loop", F.col("at") == F.col("slug"))
-    step = edges.select(F.col("slug").alias("at"), F.col("to").alias("next"))
-    done = []
-    for hop in range(1, hops + 1):
-        if moving.isEmpty():
+    edges = checkpoint(nodes.join(nodes.select(F.col("slug").alias("to")), "to", "left_semi").select("slug", "to", F.lit(1).alias("steps")))
+    way, span = edges, 1
+    while span < hops:
+        ahead = way.select(F.col("slug").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        further = F.col("next").isNotNull()
+        joined = way.join(ahead, "to", "left").select("slug", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), further.alias("moved"))
+        joined = checkpoint(joined)
+        way, span = joined.drop("moved"), 2 * span
+        if joined.filter("moved").isEmpty():
             break
-        ahead = checkpoint(moving.join(step, "at", "left"))
-        settled = F.when(F.col("loop") | F.array_contains("path", F.col("next")), F.col("slug")).otherwise(F.col("at"))
-        ends = F.col("loop") | F.col("next").isNull() | F.array_contains("path", F.col("next"))
-        if hop == hops:
-            done.append(ahead.select("slug", F.col("slug").alias("canonical_slug")))
-            break
-        done.append(ahead.filter(ends).select("slug", settled.alias("canonical_slug")))
-        moving = ahead.filter(~ends).select("slug", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), F.lit(False).alias("loop"))
-    out = nodes.join(edges.select("slug"), "slug", "left_anti").select("slug", F.col("slug").alias("canonical_slug"))
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    ends = way.filter(F.col("steps") < hops).join(edges.select(F.col("slug").alias("to")), "to", "left_anti").select("slug", "to")
+    return registry.select("slug").join(ends, "slug", "left").select("slug", F.coalesce("to", "slug").alias("canonical_slug"))
 
 
 def members(registry: DataFrame) -> DataFrame:

@@ -17,24 +17,40 @@ def numbered(log: DataFrame) -> DataFrame:
     return log.withColumns({"chapter_number": number, "chapter_text": text.unnumbered(F.col("chapter_label"), number)})
 
 
+#: What one series, site and chapter comes to: its newest event.
+CHAPTER_KEY = ("series_id", "source_domain", "chapter_number", "chapter_text")
+
+
+def newest_by_chapter(log: DataFrame) -> DataFrame:
+    """series_id, source_domain, chapter_number, chapter_text, last: the log reduced before it is joined with anything."""
+    rows = numbered(log.select("id", "series_id", "chapter_label", "source_url", "source_domain", "read_at"))
+    return rows.groupBy(*CHAPTER_KEY).agg(F.max(F.struct("read_at", "id", "chapter_label", "source_url")).alias("last"))
+
+
+def merged_chapters(rows: DataFrame) -> DataFrame:
+    """``newest_by_chapter`` of several parts of a log as that of the whole."""
+    return rows.groupBy(*CHAPTER_KEY).agg(F.max("last").alias("last"))
+
+
 def library(registry: DataFrame, log: DataFrame, domain: str | None = None, since: str | None = None) -> DataFrame:
-    """One row a card whose canonical row is alive, newest activity first.
+    """One row a card whose canonical row is alive, newest activity first; see ``project``."""
+    return project(registry, newest_by_chapter(log), domain, since)
+
 
-    Events are first reduced to one row a card, domain and chapter, then to one a domain and to one a card; each is a
-    partial aggregate before its shuffle, so a card with a third of all events is no hot key. The filters ask for some
-    event of the card, so they stand after the last aggregate.
+def project(registry: DataFrame, chapters: DataFrame, domain: str | None = None, since: str | None = None, group: DataFrame | None = None) -> DataFrame:
+    """The library of the series in ``chapters`` (see ``newest_by_chapter``).
+
+    The log is reduced to a row a series, site and chapter before it meets its cards, then to one a card, site and chapter,
+    one a card and site, and one a card; each is a partial aggregate before its shuffle, so a card with a third of all events is no
+    hot key. The filters ask for some event of the card, so they stand after the last aggregate. ``group``: the members
+    of those cards that are wanted, or of all.
     """
-    group = members(registry)
+    group = members(registry) if group is None else group
     ids = group.select(F.col("id").alias("series_id"), "canonical_id")
-    events = numbered(log.select("id", "series_id", "chapter_label", "source_url", "source_domain", "read_at")).join(ids, "series_id")
-    newest = F.struct("read_at", "id")
-    by_chapter = events.groupBy("canonical_id", "source_domain", "chapter_number", "chapter_text").agg(
-        F.max(F.struct("read_at", "id", "chapter_label", "source_url")).alias("last"),
-        F.max_by("chapter_label", newest).alias("label"),
-    )
+    by_chapter = chapters.join(ids, "series_id").groupBy("canonical_id", "source_domain", "chapter_number", "chapter_text").agg(F.max("last").alias("last"))
     by_domain = by_chapter.groupBy("canonical_id", "source_domain").agg(
         F.max("last").alias("last"),
-        F.max(F.when(F.col("chapter_number").isNotNull(), F.struct("chapter_number", "last.read_at", "last.id", "label"))).alias("reached"),
+        F.max(F.when(F.col("chapter_number").isNotNull(), F.struct("chapter_number", "last.read_at", "last.id", F.col("last.chapter_label").alias("label")))).alias("reached"),
     )
     by_card = by_domain.groupBy("canonical_id").agg(
         F.max(F.struct("last.read_at", "last.id", "last.chapter_label", "last.source_url", "source_domain")).alias("last"),
@@ -70,9 +86,10 @@ def history(registry: DataFrame, log: DataFrame, ids: DataFrame | None = None) -
     group = members(registry).filter("NOT canonical_deleted")
     if ids is not None:
         group = group.join(group.join(ids.select("id"), "id", "left_semi").select("canonical_id").distinct(), "canonical_id", "left_semi")
-    events = numbered(log.select("id", "series_id", "chapter_label", "source_domain", "read_at")).join(group.select(F.col("id").alias("series_id"), "canonical_id", "canonical_slug"), "series_id")
+    # a series' chapters are reduced before they meet their card
+    own = numbered(log.select("id", "series_id", "chapter_label", "source_domain", "read_at")).groupBy(*CHAPTER_KEY).agg(F.min(F.struct("read_at", "id", "chapter_label")).alias("first"))
     key = ["canonical_slug", "chapter_number", "chapter_text"]
-    first = events.groupBy(*key, "source_domain").agg(F.min(F.struct("read_at", "id", "chapter_label")).alias("first"))
+    first = own.join(group.select(F.col("id").alias("series_id"), "canonical_slug"), "series_id").groupBy(*key, "source_domain").agg(F.min("first").alias("first"))
     kept = first.groupBy(*key).agg(F.min(F.struct("first.read_at", "first.id", "first.chapter_label", "source_domain")).alias("kept"), F.sort_array(F.collect_list(F.struct("first.read_at", "first.id", "source_domain"))).alias("seen"))
     others = F.filter(F.transform("seen", lambda x: x["source_domain"]), lambda d: d != F.col("kept.source_domain"))
     return kept.select(F.col("canonical_slug").alias("slug"), F.col("kept.id").alias("id"), F.col("kept.chapter_label").alias("chapter_label"), "chapter_number", F.col("kept.source_domain").alias("source_domain"), F.col("kept.read_at").alias("read_at"), others.alias("also_read_on"))

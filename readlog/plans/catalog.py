@@ -684,21 +684,26 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{out}/log").select("id", "series_id", "chapter_number", "source_domain")
 
 
+def _in_files(rows: DataFrame, folder: str, order: str, files: int) -> DataFrame:
+    """``rows`` as a stream of that many files, in the order of a column, a micro-batch a file."""
+    s = rows.sparkSession
+    rows.repartitionByRange(files, order).write.parquet(folder)
+    return streams.read_table_stream(s, folder, "*.parquet", rows.schema, files=1)
+
+
 @query(LIBRARY)
 def stream_library(s: SparkSession, d: str) -> DataFrame:
+    """The library kept current over several micro-batches of the log."""
     out = _scratch(s, "library")
-    rows = streams.read_table_stream(s, d, "events.parquet", s.read.parquet(f"{d}/events.parquet").schema)
-    streams.stream_append(rows, lambda batch: batch.sparkSession.sql(roles.LOG, events=batch), f"{out}/log", f"{out}/marks")
-    return library.library(registry(s, d), s.read.parquet(f"{out}/log").drop("batch"))
+    kept = streams.stream_library(_in_files(log(s, d), f"{out}/in", "id", 4), registry(s, d), f"{out}/kept", f"{out}/marks")
+    return kept.cards()
 
 
 @query()
 def stream_reports(s: SparkSession, d: str) -> DataFrame:
-    """Whole ingestion on a stream of reports; tests hold it against one batch."""
+    """Whole ingestion on a stream of reports, in several micro-batches; tests hold it against one batch."""
     out = _scratch(s, "reports")
-    _reports(s, d).coalesce(1).write.parquet(f"{out}/in")
-    stream = streams.read_table_stream(s, f"{out}/in", "*.parquet", _reports(s, d).schema)
-    streams.stream_reports(stream, *_state(s, d), f"{out}/left", f"{out}/marks")
+    streams.stream_reports(_in_files(_reports(s, d), f"{out}/in", "read_at", 3), *_state(s, d), f"{out}/left", f"{out}/marks")
     return s.read.parquet(f"{out}/left/outcomes").select("report_id", "target", "via", "series_id", "event_id", "created", "cover_changed", "revived", "changed")
 
 

@@ -219,26 +219,6 @@ def test_batch_equals_one_by_one(spark):
     assert out["new_series"].filter("slug = 'nothing-alikee'").first()["merged_into_slug"] == "nothing-alike"
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    reports, r, events, want = ordered_batch(spark)
-    for k, part in enumerate(("report_id < 4", "report_id BETWEEN 4 AND 8", "report_id > 8")):
-        folder = tmp_path / "in" / str(k)
-        reports.filter(part).coalesce(1).write.parquet(str(folder))
-        file = next(folder.glob("part-*.parquet"))
-        file.rename(tmp_path / "in" / f"{k}.parquet")
-        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
-    stream = streams.read_table_stream(spark, str(tmp_path / "in" / "[0-9].parquet"), "*.parquet", reports.schema, files=1)
-    out = str(tmp_path / "out")
-    streams.stream_reports(stream, r, events, out, str(tmp_path / "marks"))
-    got = spark.read.parquet(f"{out}/outcomes")
-    assert got.select("batch").distinct().count() == 3
-    assert sorted((x["report_id"], x["target"], x["via"], x["created"]) for x in got.collect()) == want
-    once = ingest.ingest(reports, r.withColumn("id", F.col("id").cast("string")), events)
-    for name in ("appended", "new_series", "covers", "revived"):
-        left = spark.read.parquet(f"{out}/{name}").drop("batch")
-        assert sorted(map(tuple, left.select(sorted(left.columns)).collect()), key=str) == sorted(map(tuple, once[name].select(sorted(left.columns)).collect()), key=str), name
-
-
 def test_curation(spark):
     r = registry(spark, [("a", None, False), ("b", "a", False), ("c", None, True), ("d", None, False)]).withColumn("updated_at", F.lit(at(0)).cast("timestamp"))
     now = F.lit(at(9)).cast("timestamp")
