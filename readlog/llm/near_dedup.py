@@ -14,9 +14,9 @@ join across parts; whatever is then not in the group's largest class is compared
 task holds more than two parts, and work is that of a group's minority against the group rather than of all pairs.
 
 Cases: a text without words has no set, is linked with nothing and is its own class; fewer than five words are one
-shingle; a very long text has all of its shingles; an empty table gives no rows; repeated rows with one doc_id are one
-document with the smaller of equal sets' ids, and each row gets its class; rows with a null doc_id are returned with a
-null class and kept; extra columns, whatever their names, are not read, and ``keep_one`` keeps them.
+shingle; a very long text has all of its shingles; an empty table gives no rows; rows that share a doc_id are documents of their own,
+linked by their own texts, so they may differ in class and in ``kept``, and equal rows get equal results; rows with a null
+doc_id are returned with a null class and kept; extra columns, whatever their names, are not read, and ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -91,8 +91,14 @@ def signatures(items: np.ndarray, first: np.ndarray, n: int = BANDS * ROWS, step
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: rows of one id are told apart by a hash of their texts."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a 128-bit fingerprint of the set), bands."""
+    """doc_id, text_key, n_shingles, set_a, set_b (a 128-bit fingerprint of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,11 +111,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands = np.zeros((len(sizes), BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = textnum.mix64(bands * np.uint64(31) + coordinates[:, :, r] + np.uint64(1))
-                arrays = [piece.column("doc_id"), pa.array(sizes), *map(pa.array, prints), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                arrays = [piece.column("doc_id"), piece.column("text_key"), pa.array(sizes), *map(pa.array, prints), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return ids.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<bigint>")
 
 
 def confirm(items: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -143,9 +148,10 @@ def confirm(items: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> np.
     return root
 
 
-def _confirmed(texts: DataFrame, dealt: DataFrame) -> DataFrame:
-    """Edges (a, b) between members of one task; ``dealt``: node and the task's key (root, p, q)."""
-    rows = texts.join(dealt, "node")
+def _confirmed(texts: DataFrame, places: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Edges (a, b) between members of one task; ``places``: node and whose text it has (doc_id, text_key); ``dealt``: node and
+    the task's key (root, p, q)."""
+    rows = texts.join(dealt.join(places, "node"), ["doc_id", "text_key"]).select("node", "text", "root", "p", "q")
 
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
@@ -160,20 +166,21 @@ def _confirmed(texts: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """Confirmed edges (a, b) within candidate groups, which join what all links join; ``groups``: node, root, n_shingles."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    """Confirmed edges (a, b) within candidate groups, which join what all links join; ``groups``: node, root, n_shingles, and
+    whose text it has (doc_id, text_key)."""
+    texts, places = _texts(docs), groups.select("node", "doc_id", "text_key")
     sums = checkpoint(groups.groupBy("root").agg(F.sum("n_shingles").alias("all"), F.count("*").alias("n")))
     parts = F.greatest(F.lit(1), F.ceil(F.col("all") / group_shingles)).cast("int")
     members = with_group(groups, sums.select("root", parts.alias("parts"), "n"), ["root"], ["parts"], groups.count())
     placed = members.select("node", "root", "n_shingles", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("p"))
     if sums.filter(parts > 1).isEmpty():
-        return _confirmed(texts, placed.select("node", "root", "p", F.lit(-1).alias("q")))
+        return _confirmed(texts, places, placed.select("node", "root", "p", F.lit(-1).alias("q")))
     placed = checkpoint(placed)
     large = placed.filter("parts > 1")
     by_hash = W.partitionBy("root").orderBy(F.xxhash64("node", F.lit(3)), "node")
     anchors = large.select("*", F.row_number().over(by_hash).alias("rank")).filter(F.col("rank") <= ANCHORS)
     everywhere = anchors.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-    first = checkpoint(_confirmed(texts, placed.select("node", "root", "p").unionByName(everywhere).distinct().withColumn("q", F.lit(-1))))
+    first = checkpoint(_confirmed(texts, places, placed.select("node", "root", "p").unionByName(everywhere).distinct().withColumn("q", F.lit(-1))))
     classes = checkpoint(components(first).select("node", F.col("root").alias("cls")))
     named = checkpoint(large.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node")))
     largest = named.groupBy("root", "cls").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("cls", F.struct("n", "cls")).alias("main"), F.sum("n").alias("n"))
@@ -186,31 +193,45 @@ def links(docs: DataFrame, groups: DataFrame, group_shingles: int = GROUP_SHINGL
     left = left.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.pmod(F.xxhash64("node", F.lit(9)), "lots").cast("int").alias("q"))
     right = with_group(large.select("node", "root", "p"), lots, ["root"], ["lots"], total)
     right = right.select("node", "root", "p", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("q"))
-    return first.unionByName(_confirmed(texts, left.unionByName(right).distinct()))
+    return first.unionByName(_confirmed(texts, places, left.unionByName(right).distinct()))
 
 
-def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a row."""
+def _classes(docs: DataFrame, group_shingles: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id: one row a row."""
     sketched = checkpoint(sketches(docs))
-    nodes = checkpoint(sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
+    real, key = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL"), ["set_a", "set_b", "n_shingles"]
+    # a node is a set: its number is its own, and stands from this checkpoint on; the smallest document lends it its text
+    first = F.min(F.struct("doc_id", "text_key"))
+    sets = real.groupBy(*key).agg(first.alias("first"), F.min_by("bands", F.struct("doc_id", "text_key")).alias("bands"), F.count("*").alias("n"))
+    nodes = checkpoint(sets.select(F.monotonically_increasing_id().alias("node"), *key, "first.*", "bands", "n"))
+    n_nodes = nodes.count()
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     hubs = checkpoint(banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    near = with_group(banded, hubs, ["band", "value"], ["hub"], BANDS * nodes.count()).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = with_group(banded, hubs, ["band", "value"], ["hub"], BANDS * n_nodes).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(near)
-    sized = checkpoint(groups.join(nodes.select("node", "n_shingles"), "node"))
+    sized = checkpoint(groups.join(nodes.select("node", "n_shingles", "doc_id", "text_key"), "node"))
     classes = components(links(docs, sized, group_shingles))
-    named = nodes.join(classes, "node", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("root", "node").alias("component_id"))
-    rows = sketched.drop("bands").alias("d")
-    same = (F.col("d.set_a") == named["set_a"]) & (F.col("d.set_b") == named["set_b"]) & (F.col("d.n_shingles") == named["n"]) & F.col("d.doc_id").isNotNull()
-    joined = rows.join(named, same, "left")
-    return joined.select("d.doc_id", "d.n_shingles", F.coalesce("component_id", "d.doc_id").alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = checkpoint(nodes.drop("bands").join(classes, "node", "left").withColumn("cls", F.coalesce("root", "node")))
+    least = named.groupBy("cls").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    found = with_group(named.select(*key, "cls", F.col("n").alias("copies")), least, ["cls"], ["component_id"], n_nodes)
+    copies = found.select(*key, "component_id", F.col("copies").alias("n"))
+    rows = sketched.select("doc_id", "text_key", *key)
+    alone = rows.filter("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    linked = with_group(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL"), checkpoint(copies), key, ["component_id"], sketched.count())
+    return linked.unionByName(alone).drop("set_a", "set_b")
+
+
+def near_duplicates(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a row."""
+    rows = _classes(docs, group_shingles).select("doc_id", "n_shingles", "component_id")
+    return rows.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """docs without those that are near copies of one with a smaller id; of rows that share an id, all or none stay."""
-    gone = near_duplicates(docs, group_shingles).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_key"))
-    return packed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_doc.*")
+    """docs without those that are near copies of one with a smaller id. Rows that share an id go by their own texts."""
+    gone = _classes(docs, group_shingles).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_key"))
+    return packed.join(gone, (F.col("_key") == F.col("_gone")) & (F.col("_text_key") == F.col("_gone_key")), "left_anti").select("_doc.*")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,12 +46,12 @@ def repeats_by_byte(rows, window=50):
 
 
 def near_classes(rows):
-    """(doc_id, n_shingles, component_id, kept)."""
-    sets = {}
-    for d, t in rows:
+    """(doc_id, n_shingles, component_id, kept), row by row; no doc_id is null."""
+    sets = []
+    for _, t in rows:
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    parent = {d: d for d in sets}
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -59,17 +59,16 @@ def near_classes(rows):
         return x
 
     where = {}
-    for d, s in sets.items():
-        for x in s:
-            where.setdefault(x, []).append(d)
-    for d, s in sets.items():
+    for i, s in enumerate(sets):
         counts = {}
         for x in s:
-            for e in where[x]:
-                if e < d:
-                    counts[e] = counts.get(e, 0) + 1
-        for e, n in counts.items():
-            if 100 * n >= 75 * (len(s) + len(sets[e]) - n):
-                a, b = sorted((find(d), find(e)))
-                parent[b] = a
-    return [(d, len(s), find(d), find(d) == d) for d, s in sets.items()]
+            for j in where.setdefault(x, []):
+                counts[j] = counts.get(j, 0) + 1
+            where[x].append(i)
+        for j, n in counts.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, len(s), least[find(i)], d == least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]

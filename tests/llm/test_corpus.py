@@ -272,6 +272,20 @@ def test_near_duplicates(spark, group):
     assert ordered(near_dedup.near_duplicates(docs, group).collect()) == ordered(brute.near_classes(unique))
 
 
+@pytest.mark.parametrize("group", [near_dedup.GROUP_SHINGLES, 300])
+def test_near_duplicates_keep_links_of_rows_that_share_an_id(spark, group):
+    near = lambda t, k: " ".join(w if i != k else "other" for i, w in enumerate(t.split()))
+    x, y, z = words(71, 120), words(72, 120), words(73, 120)
+    rows = [(1, x), (7, near(x, 60)), (7, y), (9, near(y, 50)), (9, near(y, 50)), (5, z), (5, near(z, 3)), (5, z.upper()), (12, y), (3, None), (3, ""), (3, "few words"), (4, "few words"), (3, z)]
+    rows += [(20 + i, near(x, i)) for i in range(0, 30, 3)] + [(7, near(z, 100)), (7, words(74, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = ordered(brute.near_classes(rows))
+    assert ordered(near_dedup.near_duplicates(docs, group).collect()) == want
+    assert (7, 116, 1, False) in want and (9, 116, 7, False) in want
+    kept = near_dedup.keep_one(docs, group).collect()
+    assert ordered((r.doc_id, r.text) for r in kept) == ordered((d, t) for (d, t), (_, _, _, k) in zip(rows, brute.near_classes(rows), strict=True) if k)
+
+
 def test_near_duplicates_of_repeated_and_null_ids(edges):
     rows = near_dedup.near_duplicates(edges).collect()
     assert len(rows) == len(pairs())
