@@ -1,13 +1,16 @@
 """Language identification by unigrams over a fixed vocabulary, with segmentations marginalised.
 
 A language is a probability for each piece of a public byte-level vocabulary, all of it. A word is a run of letters in
-lower case, behind the space with which the vocabulary starts words; a run of more than ``WORD`` letters counts as
-several words. A word's likelihood is the sum over all ways to cut it into pieces, by a forward pass over its bytes; a
-text's is the product over its words. Probabilities are fitted by expectation-maximisation on all words of a bounded
-sample of labelled documents, one language a task; expected piece counts come from a forward and a backward pass.
+lower case, whole, behind the space with which the vocabulary starts words. A word's likelihood is the sum over all ways
+to cut it into pieces, by a forward pass over its bytes; a text's is the product over its words. Probabilities are
+fitted by expectation-maximisation on all words of a bounded sample of labelled documents, one language a task;
+expected piece counts come from a forward and a backward pass. Every language that a row to learn from names is fitted.
 
 Scoring works on the different words of a lot of texts at once: pieces are found by hashing the byte ranges of all
 lengths that the vocabulary has, and the forward pass runs over all words of a length together, for all languages.
+Words of more than ``LONG`` bytes, as scripts without spaces have them, go together whatever their lengths, in logarithms.
+Words are kept, and languages taken at a time, within ``CACHE_BYTES`` and ``MODEL_BYTES`` of a task; a model takes 200 KB
+a language on the driver, however many documents there are.
 
 The score is the posterior of the predicted language under equal priors.
 
@@ -31,12 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlog.llm import textnum
-from readlog.llm.storage import documents
+from readlog.llm.storage import checkpoint, documents
 
-#: The sample of a fit: about so many documents of a language, and the languages with the most documents.
-SAMPLE_DOCS, MOST_LANGUAGES = 1500, 200
-ROUNDS, WORD = 3, 32
-WORDS = regex.compile(rf"\p{{L}}{{1,{WORD}}}")
+#: The sample of a fit: about so many documents of a language.
+SAMPLE_DOCS, ROUNDS = 1500, 3
+WORDS = regex.compile(r"\p{L}+")
+#: Bytes of a word from which it counts as long, of the word likelihoods that a task keeps, and of the languages it has at a time.
+LONG, CACHE_BYTES, MODEL_BYTES = 96, 64 << 20, 128 << 20
 
 
 @lru_cache(2)
@@ -140,26 +144,110 @@ def expected(table: Table, probability: np.ndarray, weight: np.ndarray) -> np.nd
     return out[:-1]
 
 
-def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], languages: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers and byte matrix of the words of each length, about four megabytes of pieces at a time."""
     sizes = np.array([len(w) for w in words])
     for size in np.unique(sizes).tolist():
         which = np.flatnonzero(sizes == size)
-        step = max(1, (4 << 20) // (size * size))
+        step = max(1, (4 << 20) // (size * size * max(1, languages // 4)))
         for at in range(0, len(which), step):
             part = which[at : at + step]
             yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), size)
 
 
+def split_long(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Numbers of the short words, and of the long ones in lots of similar lengths and about a megabyte with padding."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    order = np.flatnonzero(sizes > LONG)
+    order = order[np.argsort(sizes[order], kind="stable")]
+    lots, at = [], 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and sizes[order[to]] <= 2 * sizes[order[at]] and sizes[order[to]] * (to - at + 1) <= 1 << 20:
+            to += 1
+        lots.append(order[at:to])
+        at = to
+    return np.flatnonzero(sizes <= LONG), lots
+
+
+def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte matrix with zeros behind shorter words, and their sizes."""
+    sizes = np.array([len(w) for w in words])
+    return np.frombuffer(b"".join(w.ljust(sizes.max(), b"\0") for w in words), np.uint8).reshape(len(words), -1), sizes
+
+
+def pieces_ending(matrix: np.ndarray, lookup: Lookup, step: int = 64) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+    """By the place at which a piece ends: lengths and piece numbers by word, -1 where there is none."""
+    n, size = matrix.shape
+    prefix, powers = textnum.byte_prefix(matrix.ravel(), 21)
+    row = np.arange(n)[:, None] * size
+    for begin in range(1, size + 1, step):
+        ends = np.arange(begin, min(begin + step, size + 1))
+        found = []
+        for k in lookup.lengths:
+            if k > ends[-1]:
+                break
+            start = np.maximum(ends - k, 0)
+            piece = lookup(textnum.range_hash(prefix, powers, (row + start).ravel(), (row + ends).ravel())).reshape(n, -1)
+            piece[:, ends < k] = -1
+            if (piece >= 0).any():
+                found.append((k, piece, (piece >= 0).any(axis=0)))
+        for i, at in enumerate(ends.tolist()):
+            yield at, [(k, piece[:, i]) for k, piece, some in found if some[i]]
+
+
+def long_forward(words: list[bytes], lookup: Lookup, log_probability: np.ndarray) -> np.ndarray:
+    """(words, languages) log-likelihoods of words of any lengths; the last row of ``log_probability`` is -inf."""
+    matrix, sizes = padded(words)
+    shape = (len(words), log_probability.shape[1])
+    out, width = np.zeros(shape), max(lookup.lengths) + 1
+    ring = np.full((width, *shape), -np.inf)
+    ring[0] = 0
+    for at, pieces in pieces_ending(matrix, lookup):
+        now = np.full(shape, -np.inf)
+        for k, piece in pieces:
+            now = np.logaddexp(now, ring[(at - k) % width] + log_probability[piece])
+        ring[at % width] = now
+        done = sizes == at
+        out[done] = now[done]
+    return out
+
+
+def long_expected(words: list[bytes], lookup: Lookup, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``expected`` for words of any lengths."""
+    matrix, sizes = padded(words)
+    with np.errstate(divide="ignore"):
+        log_p = np.log(probability)
+    n, size = matrix.shape
+    a, b = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+    a[0] = 0
+    b[sizes, np.arange(n)] = 0
+    table = list(pieces_ending(matrix, lookup))
+    for at, pieces in table:
+        for k, piece in pieces:
+            a[at] = np.logaddexp(a[at], a[at - k] + log_p[piece])
+    whole, out = a[sizes, np.arange(n)], np.zeros(len(probability))
+    for at, pieces in reversed(table):
+        for k, piece in pieces:
+            way = log_p[piece] + b[at]
+            b[at - k] = np.logaddexp(b[at - k], way)
+            out += np.bincount(piece % len(probability), weight * np.exp(a[at - k] + way - whole), len(probability))
+    return out[:-1]
+
+
 def fit_language(words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS, path: str | None = None) -> np.ndarray:
     """Piece probabilities of one language from counted words."""
     hashes, sizes = vocabulary(path)
     lookup, n = Lookup(hashes, sizes), len(hashes)
     probability = np.where(sizes == 1, 1e-3, 1e-4)
+    short, lots = split_long(words)
+    some = [words[i] for i in short]
     for _ in range(rounds):
-        found = np.full(n, 0.01)
-        for which, matrix in by_length(words):
-            found += expected(piece_table(matrix, lookup), np.append(probability, 0.0), counts[which].astype(float))
+        found, p = np.full(n, 0.01), np.append(probability, 0.0)
+        for which, matrix in by_length(some):
+            found += expected(piece_table(matrix, lookup), p, counts[short[which]].astype(float))
+        for lot in lots:
+            found += long_expected([words[i] for i in lot], lookup, p, counts[lot].astype(float))
         probability = found / found.sum()
     return probability
 
@@ -175,77 +263,121 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, path: str | None = None
     and lets about ``sample_docs`` pass; the model's size is that of the vocabulary, whatever the corpus.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     whole = 1 << 30
-    cuts = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(min(whole, -(-sample_docs * whole // r["count"])))) for r in counts)) if counts else F.create_map().cast("map<string,int>")
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(whole)) < F.try_element_at(cuts, F.col("lang")))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{WORD}}})"), 1)).alias("word"))
+    cuts = known.groupBy("lang").agg(F.least(F.lit(whole), F.ceil(F.lit(sample_docs * whole) / F.count("*"))).alias("cut"))  # one row a language
+    sample = known.join(F.broadcast(cuts), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(whole)) < F.col("cut"))
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("word")
         probability = fit_language([b" " + w.encode() for w in table.column("word").to_pylist()], table.column("n").to_numpy(), path=path)
-        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()]), "p": pa.array([probability.tolist()], pa.list_(pa.float64()))})
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()]), "p": pa.array([probability.astype("<f4").tobytes()], pa.binary())})
 
-    rows = sorted(counted.groupBy("lang").applyInArrow(run, "lang string, p array<double>").collect())
+    rows = sorted(counted.groupBy("lang").applyInArrow(run, "lang string, p binary").collect())
     n = len(vocabulary(path)[0])
-    return [r["lang"] for r in rows], np.vstack([np.array([r["p"] for r in rows]).reshape(len(rows), n).T, np.zeros((1, len(rows)))])
+    model = np.zeros((n + 1, len(rows)), np.float32)
+    for i, r in enumerate(rows):
+        model[:n, i] = np.frombuffer(r["p"], "<f4")
+    return [r["lang"] for r in rows], model
 
 
 class Scorer:
-    """Language posteriors of texts; word likelihoods are kept for a bounded number of words."""
+    """Log-likelihoods of texts by language; those of words are kept within ``cache`` bytes."""
 
-    def __init__(self, languages: list[str], probability: np.ndarray, path: str | None = None, most: int = 400_000):
-        self.languages, self.probability = languages, probability
-        self.lookup, self.most = Lookup(*vocabulary(path)), most
+    def __init__(self, probability: np.ndarray, path: str | None = None, cache: int = CACHE_BYTES):
+        self.probability, self.languages = probability.astype(float), probability.shape[1]
+        with np.errstate(divide="ignore"):
+            self.log_probability = np.log(self.probability)
+        self.lookup, self.most = Lookup(*vocabulary(path)), max(1000, min(400_000, cache // (8 * max(1, self.languages))))
         self.known: dict[str, int] = {}
-        self.logs = np.zeros((0, len(languages)))
+        self.logs = np.zeros((0, self.languages))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        out, raw = np.zeros((len(words), self.languages)), [b" " + w.encode() for w in words]
+        short, lots = split_long(raw)
+        for which, matrix in by_length([raw[i] for i in short], self.languages):
+            out[short[which]] = forward(piece_table(matrix, self.lookup), len(which), self.probability)
+        for lot in lots:
+            out[lot] = long_forward([raw[i] for i in lot], self.lookup, self.log_probability)
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        added = np.zeros((len(words), len(self.languages)))
-        for which, matrix in by_length([b" " + w.encode() for w in words]):
-            added[which] = forward(piece_table(matrix, self.lookup), len(which), self.probability)
+        added = self.words(words)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.logs = np.concatenate([self.logs, added])
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and its log-likelihoods."""
         words = [WORDS.findall(t.lower()) if t else [] for t in texts]
-        different = set().union(*words)
-        new = different.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known, self.logs, new = {}, self.logs[:0], different
-        if new:
-            self._learn(list(new))
         sizes = np.array([len(w) for w in words])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(first[-1]))
-        some = np.flatnonzero(sizes)
-        out, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if len(some) and self.languages:
-            log = np.add.reduceat(self.logs[number], first[some])
-            log -= log.max(1, keepdims=True)
-            posterior = np.exp(log)
-            posterior /= posterior.sum(1, keepdims=True)
-            best = posterior.argmax(1)
-            for i, b, p in zip(some.tolist(), best.tolist(), posterior[np.arange(len(some)), best].tolist(), strict=True):
-                out[i], scores[i] = self.languages[b], p
-        return out, scores
-
-
-def predict(docs: DataFrame, languages: list[str], probability: np.ndarray, path: str | None = None) -> DataFrame:
-    """doc_id, lang_pred, score."""
-    model = docs.sparkSession.sparkContext.broadcast((languages, probability.astype(np.float32)))
+        total = np.zeros((len(texts), self.languages))
+        different = list(set().union(*words))
+        for at in range(0, len(different), self.most):  # more than one part only for texts with very many words
+            part = different[at : at + self.most]
+            new = [w for w in part if w not in self.known]
+            if len(self.known) + len(new) > self.most:
+                self.known, self.logs, new = {}, self.logs[:0], part
+            if new:
+                self._learn(new)
+            if len(part) == len(different):
+                first, some = np.concatenate([[0], np.cumsum(sizes)]), np.flatnonzero(sizes)
+                number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(first[-1]))
+                total[some] = self._summed(number, first[some])
+            else:
+                own = set(part)
+                for i, ws in enumerate(words):
+                    number = np.array([self.known[w] for w in ws if w in own], np.int64)
+                    if len(number):
+                        total[i] += self._summed(number, np.zeros(1, np.int64))[0]
+        return sizes, total
+
+    def _summed(self, number: np.ndarray, first: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+        """Sums of words' logs from each of ``first`` on, a language range at a time."""
+        width = max(1, step // max(1, len(number)))
+        parts = [np.add.reduceat(self.logs[number, at : at + width], first) for at in range(0, self.languages, width)]
+        return np.concatenate([*parts, np.zeros((len(first), 0))], axis=1)
+
+
+STATE = "lang_pred string, best double, total double"
+
+
+def predict(docs: DataFrame, languages: list[str], probability: np.ndarray, path: str | None = None, model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """doc_id, lang_pred, score. Languages beyond ``model_bytes`` are scored in further passes over a written table."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    size = max(1, model_bytes // (8 * len(probability)))
+    none = [F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("double").alias("total")]
+    rows = docs.select("doc_id", "text", *none)
+    for at in range(0, len(languages), size):
+        if at:
+            rows = checkpoint(rows)
+        rows = _scored(rows, languages[at : at + size], probability[:, at : at + size], path, kind, at + size < len(languages))
+    # total is the logarithm of the sum over all languages
+    score = F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("best") - F.col("total"))))
+    return rows.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
+def _scored(rows: DataFrame, languages: list[str], probability: np.ndarray, path: str | None, kind: str, more: bool) -> DataFrame:
+    """doc_id, text if there are more, and the best of these languages and earlier ones."""
+    model = rows.sparkSession.sparkContext.broadcast((languages, np.ascontiguousarray(probability, np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named, p = model.value
-        scorer = Scorer(named, p.astype(float), path)
+        scorer = Scorer(p, path)
         for batch in batches:
-            for piece in textnum.pieces(batch, limit=1 << 20):
-                best, scores = scorer(piece.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+            for piece in textnum.pieces(batch, limit=max(1 << 15, (1 << 20) // max(1, len(named) // 4))):
+                sizes, log = scorer(piece.column("text").to_pylist())
+                number = log.argmax(axis=1)
+                best = log[np.arange(len(log)), number]
+                total = best + np.log(np.exp(log - best[:, None]).sum(axis=1))
+                before = piece.column("best").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                lang = [named[k] if b > o else old for k, b, o, old in zip(number.tolist(), best.tolist(), before.tolist(), piece.column("lang_pred").to_pylist(), strict=True)]
+                total = np.logaddexp(total, piece.column("total").fill_null(-np.inf).to_numpy(zero_copy_only=False))
+                blank = sizes == 0
+                arrays = [piece.column("doc_id"), *[piece.column("text")] * more, pa.array(lang, pa.string(), mask=blank), pa.array(np.maximum(best, before), mask=blank), pa.array(total, mask=blank)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *["text"] * more, "lang_pred", "best", "total"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, {'text string, ' * more}{STATE}")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

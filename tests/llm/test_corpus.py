@@ -487,6 +487,44 @@ def test_forward_of_long_words_is_rescaled():
     assert language_id.expected(table, p, np.array([1.0])) @ sizes == pytest.approx(len(word))
 
 
+def test_words_of_any_length_sum_all_segmentations():
+    r = np.random.default_rng(5)
+    hashes, sizes = language_id.vocabulary()
+    lookup, number = language_id.Lookup(hashes, sizes), len(hashes)
+    p = np.vstack([r.random((number, 3)) / number, np.zeros((1, 3))])
+    words = [b" " + bytes(r.integers(97, 123, n).astype(np.uint8)) for n in (1, 33, 97, 98, 150, 191)]
+    table = lambda w: language_id.piece_table(np.frombuffer(w, np.uint8).reshape(1, -1), lookup)
+    want = np.vstack([language_id.forward(table(w), 1, p) for w in words])
+    with np.errstate(divide="ignore"):
+        assert language_id.long_forward(words, lookup, np.log(p)) == pytest.approx(want)
+    assert language_id.Scorer(p).words([w[1:].decode() for w in words]) == pytest.approx(want)
+    weight = np.arange(1.0, 7)
+    counts = sum(language_id.expected(table(w), p[:, 0], weight[i : i + 1]) for i, w in enumerate(words))
+    assert language_id.long_expected(words, lookup, p[:, 0], weight) == pytest.approx(counts)
+    uneven = [b" " + b"a" * 4000 + bytes(r.integers(97, 123, 4000).astype(np.uint8))]
+    assert language_id.long_expected(uneven, lookup, p[:, 0], np.ones(1)) @ sizes == pytest.approx(len(uneven[0]))
+
+
+def test_runs_are_whole_and_languages_all(spark):
+    """A run of 33 letters, and of 30,000, is one word; 300 languages are fitted and scored in passes of 40."""
+    assert [len(w) for w in language_id.WORDS.findall("é" * 33 + " " + "字" * 500)] == [33, 500]
+    rows = [(3 * i, f"{''.join(chr(97 + (i // 26**k) % 26) for k in range(4)) * 3} wort{chr(97 + i % 26)}", f"l{i:03d}") for i in range(300)]
+    rows = [(d * 7, t, lang) for d, t, lang in rows]
+    docs = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1], "doc_id long, text string, lang string")
+    languages, p = language_id.fit(docs)
+    assert len(languages) == docs.count() > 180
+    asked = docs.unionByName(spark.createDataFrame([(1, "字" * 3000 + "a" * 3000, None), (2, None, None), (4, "7", None)], docs.schema))
+    whole = sorted(map(tuple, language_id.predict(asked, languages, p).collect()))
+    parts = sorted(map(tuple, language_id.predict(asked, languages, p, model_bytes=8 * 40 * len(p)).collect()))
+    assert [x[:2] for x in whole] == [x[:2] for x in parts] and [x[2] for x in whole] == pytest.approx([x[2] for x in parts])
+    found = {d: lang for d, lang, _ in whole}
+    assert sum(found[d] == lang for d, _, lang in docs.collect()) > 0.9 * len(languages) and found[2] == found[4] == "und"
+    small = language_id.Scorer(p, cache=1)  # words in parts
+    texts = [t for _, t, _ in rows] * 4 + [" ".join(t for _, t, _ in rows)]
+    small.most = 7
+    assert small(texts)[1] == pytest.approx(language_id.Scorer(p)(texts)[1])
+
+
 def plain_statistics(text):
     """The statistics of quality_model.NAMES, one text at a time."""
     data = (text or "").encode()
