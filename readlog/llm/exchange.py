@@ -142,3 +142,12 @@ def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def first_places(value: np.ndarray) -> np.ndarray:
+    """For each entry, the place of the first that is equal."""
+    order = np.argsort(value, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]])) if len(value) else np.zeros(0, np.int64)
+    out = np.empty(len(value), np.int64)
+    out[order] = np.repeat(order[begin], np.diff(np.append(begin, len(value))))
+    return out

@@ -6,8 +6,10 @@ value is live if it is an aligned block somewhere and occurs in two documents. H
 window around a live position is compared by hash over the whole corpus, as the smallest doc_id that has it, and the
 union of a document's windows with a smaller one is its maximal repeats.
 
-A block of documents sends each value once, whatever its frequency, and windows are dealt by their own hash, so a
-passage that a third of all documents share loads no task more than another. Window hashes have 64 bits; two different windows
+A block of documents sends each value once, whatever its frequency, in both exchanges. Its rows are in the order of their ids, so a
+window's first occurrence in it has the block's smallest id: that alone is sent, and the bucket says whether another block has a
+smaller one. Later occurrences are decided in the block: with a larger id than the first they go, with the same id they go with it.
+So a passage that a third of all documents share is one entry a block in a bucket. Window hashes have 64 bits; two different windows
 are taken for equal with a probability of about 5e-20 a pair.
 
 Cases: null or empty text has no words and the hash of the empty string; fewer than 50 words are never removed; a very
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlog.llm import textnum
-from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_buckets, in_blocks, member, message_table, pack, unpack, used_buckets, with_answers
+from readlog.llm.exchange import Block, Plan, bucket_of, first_places, from_blocks, from_buckets, in_blocks, member, message_table, pack, unpack, used_buckets, with_answers
 from readlog.llm.storage import documents
 
 WINDOW, ANCHOR = 50, 25
@@ -100,7 +102,9 @@ def live_values(messages: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]
 
 
 def candidates(block: Block, answers: list[tuple[int, bytes]], plan: Plan, window: int, anchor: int) -> Iterable[tuple[int, bytes]]:
-    """To each bucket: the windows around live positions, as hash, doc_id and the number of the word in the block."""
+    """To each bucket: the windows around live positions, each where it first stands in the block, as hash, doc_id and the number
+    of the word in the block. The first message also has what comes back to the block as it is: the places that it has decided, and
+    those that stand in one document with their first."""
     live = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | unpack(data, np.uint32)[0] for b, data in answers] or [np.zeros(0, np.uint64)]))
     hashes, docs, words_at, before = [], [], [], 0
     for at, to in block.runs():
@@ -117,18 +121,24 @@ def candidates(block: Block, answers: list[tuple[int, bytes]], plan: Plan, windo
         words_at.append((before + start).astype(np.uint32))
         before += words.n
     value, doc, word = map(np.concatenate, (hashes, docs, words_at))
+    first = first_places(value)
+    later = first != np.arange(len(value))
+    decided, twin = later & (doc > doc[first]), later & (doc == doc[first])
+    own = (word[decided], word[twin], word[first[twin]])
+    value, doc, word = value[~later], doc[~later], word[~later]
     bucket = bucket_of(value, plan.buckets)
     order = np.argsort(bucket, kind="stable")
     value, doc, word, bucket = value[order], doc[order], word[order], bucket[order]
     for b, begin, end in used_buckets(bucket):
         part = slice(begin, end)
         change = np.flatnonzero(np.concatenate([[True], doc[part][1:] != doc[part][:-1], [True]]))
-        yield b, pack(value[part], word[part], doc[part][change[:-1]], np.diff(change).astype(np.uint32))
+        yield b, pack(value[part], word[part], doc[part][change[:-1]], np.diff(change).astype(np.uint32), *own)
+        own = (word[:0],) * 3
 
 
 def repeated(messages: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
-    """To each block: the windows whose smallest document is smaller than their own."""
-    read = [(blk, *unpack(data, np.uint64, np.uint32, np.int64, np.uint32)) for blk, data in messages]
+    """To each block: those of its windows that a smaller document of another block has, and what it sent to itself."""
+    read = [(blk, *unpack(data, np.uint64, np.uint32, np.int64, *[np.uint32] * 4)) for blk, data in messages]
     value = np.concatenate([x[1] for x in read])
     doc = np.concatenate([np.repeat(x[3], x[4]) for x in read])
     order = np.argsort(value)
@@ -136,15 +146,17 @@ def repeated(messages: list[tuple[int, bytes]]) -> Iterable[tuple[int, bytes]]:
     least = np.empty(len(value), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(value))))
     again, at = least < doc, 0
-    for blk, hashes, word, *_ in read:
+    for blk, hashes, word, _, _, *own in read:
         hit = word[again[at : at + len(hashes)]]
         at += len(hashes)
-        if len(hit):
-            yield blk, pack(hit)
+        if len(hit) or any(map(len, own)):
+            yield blk, pack(hit, *own)
 
 
 def word_flags(answers: list[tuple[int, bytes]], n: int, window: int) -> np.ndarray:
-    starts = np.concatenate([unpack(data, np.uint32)[0] for _, data in answers] or [np.zeros(0, np.uint32)])
+    read = [unpack(data, *[np.uint32] * 4) for _, data in answers] or [[np.zeros(0, np.uint32)] * 4]
+    hit, decided, twin, first = map(np.concatenate, zip(*read, strict=True))
+    starts = np.concatenate([hit, decided, twin[member(first, np.sort(hit))]])
     return textnum.covered(starts.astype(np.int64), window, n)
 
 

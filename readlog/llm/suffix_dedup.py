@@ -2,9 +2,11 @@
 
 Every 50-byte window is dealt to a bucket by the least hash of the 16-byte strings in it, so equal windows meet, and
 neighbouring windows mostly go together as one string of about 70 bytes. A first exchange finds the least hashes that
-occur in two documents; only strings under those go to the buckets, each once a block with all of its occurrences. A
-bucket joins equal strings, builds the transforms of shards of the rest, merges them (see ``bwt``), and so has the
-smallest doc_id of every window. Windows with a smaller document than their own are sent back as byte ranges.
+occur in two documents; only strings under those go to the buckets, each once a block, where it first stands: as a block's rows are in
+the order of their ids, that has the block's smallest id. A bucket joins equal strings, builds the transforms of shards of the
+rest, merges them (see ``bwt``), and so has the smallest doc_id of every window. Windows with a smaller document than their
+own are sent back as byte ranges. Later occurrences are decided in the block: with a larger id than the first they go whole,
+with the same id they lose what it loses.
 
 Hot passages: equal strings are one string. A least hash with more than ``hot_strings`` different strings, such as that
 at the edge of a passage which a third of all documents share, is dealt again, window by window, by the hash of the
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from readlog.llm import bwt, textnum
-from readlog.llm.exchange import Block, Plan, bucket_of, from_blocks, from_buckets, in_blocks, member, message_table, pack, unpack, used_buckets, with_answers
+from readlog.llm.exchange import Block, Plan, bucket_of, first_places, from_blocks, from_buckets, in_blocks, member, message_table, pack, unpack, used_buckets, with_answers
 from readlog.llm.storage import documents
 
 WINDOW, GRAM = 50, 16
@@ -137,14 +139,15 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def send_strings(block: Block, answers: list[tuple[int, bytes]], plan: Plan, window: int, gram: int) -> Iterable[tuple[int, bytes]]:
-    """To each bucket: the block's different strings under shared hashes, and where each occurs."""
+    """To each bucket: the block's different strings under shared hashes, and where each first stands. The first message also
+    has what comes back to the block as it is: the byte ranges that it has decided, and the strings that stand in one document with
+    their first (start, that of the first, length)."""
     read = [(np.uint64(b) << np.uint64(32), *unpack(data, np.uint32, np.uint32)) for b, data in answers]
     shared, hot = (np.sort(np.concatenate([b | x[k] for b, *x in read])) for k in (0, 1))
     strings = cut_strings(block, window, gram)
     tag = (bucket_of(strings.least, plan.buckets).astype(np.uint64) << np.uint64(32)) | (strings.least & np.uint64(0xFFFFFFFF))
     is_hot = member(tag, hot)
     cold = strings.take(member(tag, shared) & ~is_hot)
-    group = cold.least
     if is_hot.any():  # each window on its own
         many = strings.take(is_hot)
         counts = many.length - window + 1
@@ -153,26 +156,33 @@ def send_strings(block: Block, answers: list[tuple[int, bytes]], plan: Plan, win
         content = textnum.range_hash(prefix, powers, start, start + window)
         alone = Strings(content, np.repeat(many.row, counts), start, np.full(len(start), window), content)
         cold = Strings(*(np.concatenate([getattr(cold, f), getattr(alone, f)]) for f in ("least", "row", "start", "length", "content")))
-        group = cold.least
-    bucket = bucket_of(group, plan.buckets)
-    order = np.lexsort((cold.start, cold.content, bucket))
-    cold, bucket = cold.take(order), bucket[order]
+    doc, first = block.keys[cold.row], first_places(cold.content)
+    later = first != np.arange(len(first))
+    decided, twin = later & (doc > doc[first]), later & (doc == doc[first])
+    change = np.zeros(len(block.data) + 1, np.int32)
+    np.add.at(change, cold.start[decided], 1)
+    np.add.at(change, cold.start[decided] + cold.length[decided], -1)
+    ranges = textnum.runs(np.cumsum(change[:-1], dtype=np.int32) > 0)
+    own = [x.astype(np.uint32) for x in (*ranges, cold.start[twin], cold.start[first[twin]], cold.length[twin])]
+    cold, doc = cold.take(~later), doc[~later]
+    bucket = bucket_of(cold.least, plan.buckets)
+    order = np.argsort(bucket, kind="stable")
+    cold, doc, bucket = cold.take(order), doc[order], bucket[order]
     for b, begin, end in used_buckets(bucket):
-        own = cold.take(np.arange(begin, end))
-        first = _firsts(own.content)
-        data = block.data[_spread(own.start[first], own.length[first])]
-        yield b, pack(own.least[first].astype(np.uint32), own.length[first].astype(np.uint8), data, np.diff(np.append(first, len(own.row))).astype(np.uint32), block.keys[own.row], own.start.astype(np.uint32))
+        part = slice(begin, end)
+        data = block.data[_spread(cold.start[part], cold.length[part])]
+        yield b, pack(cold.least[part].astype(np.uint32), cold.length[part].astype(np.uint8), data, doc[part], cold.start[part].astype(np.uint32), *own)
+        own = [x[:0] for x in own]
 
 
 def judge(messages: list[tuple[int, bytes]], window: int, batch: int) -> Iterable[tuple[int, bytes]]:
-    """To each block: the byte ranges that a smaller document has too."""
-    read = [(blk, *unpack(data, np.uint32, np.uint8, np.uint8, np.uint32, np.int64, np.uint32)) for blk, data in messages]
-    group, length, data, times, doc, start = (np.concatenate([x[k] for x in read]) for k in range(1, 7))
+    """To each block: the byte ranges that a smaller document of another block has too, and what it sent to itself."""
+    read = [(blk, *unpack(data, np.uint32, np.uint8, np.uint8, np.int64, *[np.uint32] * 6)) for blk, data in messages]
+    group, length, data, doc = (np.concatenate([x[k] for x in read]) for k in range(1, 5))
     length = length.astype(np.int64)
     offset = np.concatenate([[0], np.cumsum(length)])
     prefix, powers = textnum.byte_prefix(data, 6)
     content = textnum.range_hash(prefix, powers, offset[:-1], offset[1:])
-    least_here = np.minimum.reduceat(doc, np.concatenate([[0], np.cumsum(times)[:-1]]).astype(np.int64))
     # different strings, ordered by group
     order = np.lexsort((content, group))
     new = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (group[order][1:] != group[order][:-1])])
@@ -180,7 +190,7 @@ def judge(messages: list[tuple[int, bytes]], window: int, batch: int) -> Iterabl
     string[order] = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     one = order[first]
-    value = np.minimum.reduceat(least_here[order], first)
+    value = np.minimum.reduceat(doc[order], first)
     windows = length[one] - window + 1
     place = np.concatenate([[0], np.cumsum(windows)])
     least = np.repeat(value, windows)
@@ -198,11 +208,10 @@ def judge(messages: list[tuple[int, bytes]], window: int, batch: int) -> Iterabl
         found = bwt.common_minimum(data[_spread(offset[one[which]], lengths)], lengths, value[which], window)
         least[_spread(place[which], windows[which])] = found
         at = to
-    # back to occurrences
-    of = np.repeat(string, times)
+    # back to where each string first stands in its block
     done = 0
-    for blk, *_, docs, starts in read:
-        own = of[done : done + len(docs)]
+    for blk, _, _, _, docs, starts, *echo in read:
+        own = string[done : done + len(docs)]
         done += len(docs)
         counts = windows[own]
         again = least[_spread(place[own], counts)] < np.repeat(docs, counts)
@@ -211,21 +220,27 @@ def judge(messages: list[tuple[int, bytes]], window: int, batch: int) -> Iterabl
         edge[np.cumsum(counts)] = True
         begin = again & np.concatenate([[True], ~again[:-1] | edge[1:-1]])
         last = again & np.concatenate([~again[1:] | edge[1:-1], [True]])
-        if begin.any():
-            yield blk, pack(where[begin].astype(np.uint32), (where[last] + window).astype(np.uint32))
+        if begin.any() or any(map(len, echo)):
+            yield blk, pack(where[begin].astype(np.uint32), (where[last] + window).astype(np.uint32), *echo)
 
 
-def removed_flags(block: Block, answers: list[tuple[int, bytes]]) -> np.ndarray:
+def removed_flags(block: Block, answers: list[tuple[int, bytes]], window: int) -> np.ndarray:
     change = np.zeros(len(block.data) + 1, np.int32)
-    for _, data in answers:
-        begin, end = unpack(data, np.uint32, np.uint32)
-        np.add.at(change, begin, 1)
-        np.add.at(change, end, -1)
+    read = [unpack(data, *[np.uint32] * 7) for _, data in answers] or [[np.zeros(0, np.uint32)] * 7]
+    begin, end, whole_begin, whole_end, twin, first, length = (np.concatenate(x).astype(np.int64) for x in zip(*read, strict=True))
+    order = np.argsort(begin)
+    begin, end = begin[order], end[order]
+    # a range begins with a window of its string, and a window belongs to one string
+    low, high = np.searchsorted(begin, first), np.searchsorted(begin, first + length - window, "right")
+    copied, shift = _spread(low, high - low), np.repeat(twin - first, high - low)
+    for a, b in ((begin, end), (whole_begin, whole_end), (begin[copied] + shift, end[copied] + shift)):
+        np.add.at(change, a, 1)
+        np.add.at(change, b, -1)
     return np.cumsum(change, dtype=np.int32)[:-1] > 0
 
 
-def digest(block: Block, answers: list[tuple[int, bytes]]) -> pa.Table:
-    gone = removed_flags(block, answers)
+def digest(block: Block, answers: list[tuple[int, bytes]], window: int) -> pa.Table:
+    gone = removed_flags(block, answers, window)
     size, removed, spans, hashes = [], [], [], []
     for i in block.rows():
         own = slice(block.offsets[i], block.offsets[i + 1])
@@ -253,7 +268,8 @@ def find_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_b
 def dedup(docs: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     blocks, found = find_ranges(docs, **sizes)
-    return with_answers(blocks, found, lambda _, block, answers: digest(block, answers), RESULT)
+    window = sizes.get("window", WINDOW)
+    return with_answers(blocks, found, lambda _, block, answers: digest(block, answers, window), RESULT)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

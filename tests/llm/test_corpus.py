@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from readlog.llm import binary_packing, bwt, language_id, mixing, near_dedup, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, bwt, exchange, language_id, mixing, near_dedup, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
 from readlog.llm.components import components
 from readlog.llm.tokens import encoder
 from tests.llm import brute
@@ -216,6 +217,44 @@ def test_substring_dedup(edges, sizes):
     assert ordered(substring_dedup.dedup(edges, **sizes).collect()) == ordered(brute.repeats_by_word(pairs()))
 
 
+def passages():
+    """One passage in a third of the documents, twice in some; documents that repeat themselves, and rows that share an id."""
+    r = random.Random(9)
+    hot, own = words(81, 70), words(82, 65)
+    rows = []
+    for i in range(150):
+        text = [words(1000 + i, r.randint(5, 40))]
+        if i % 3 == 0:
+            text.append(hot if i % 2 else hot.replace("a", "q", i % 5))
+        if i % 10 == 0:
+            text += [words(3000 + i, 12), hot]
+        if i % 25 == 7:
+            text += [own, "x", own, words(4000 + i, 7), own]
+        rows.append((i // 2 if i % 30 in (6, 7) else 500 - i, " ".join(text)))
+    return rows + [(900, "la " * 300), (901, "la " * 200), (900, "la " * 120), (None, hot), (None, own + " " + own), (None, own)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 6000, "bucket_bytes": 3000}])
+def test_passages_that_many_documents_share(spark, sizes):
+    rows = passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ordered(substring_dedup.dedup(docs, **sizes).collect()) == ordered(brute.repeats_by_word(rows))
+    assert ordered(suffix_dedup.dedup(docs, **sizes).collect()) == ordered(brute.repeats_by_byte(rows))
+    assert ordered(suffix_dedup.dedup(docs, hot_strings=2, **sizes).collect()) == ordered(brute.repeats_by_byte(rows))
+
+
+def test_a_block_sends_a_passage_once():
+    """A passage in 3,333 of 10,000 documents: its windows are one entry each, with the smallest id."""
+    hot = words(81, 60)
+    table = pa.table({"doc_id": pa.array(range(10_000), pa.int64()), "text": pa.array([f"{'ab'[i % 2]}{i} {hot} c{i}" if i % 3 == 1 else f"d{i} e{i}" for i in range(10_000)])})
+    block = exchange.Block.of(table)
+    live = list(substring_dedup.live_values([(0, data) for _, data in substring_dedup.probes(block, exchange.Plan(1, 1), 25)]))
+    sent = [exchange.unpack(data, np.uint64, np.uint32, np.int64, *[np.uint32] * 4) for _, data in substring_dedup.candidates(block, [(0, d) for _, d in live], exchange.Plan(1, 1), 50, 25)]
+    entries = [int(x[3].sum()) for x in sent]
+    assert sum(entries) == sum(len(x[0]) for x in sent) == len({v for x in sent for v in x[0].tolist()}) <= 11 + 2 * 3333
+    assert sum(len(x[4]) for x in sent) == 11 * 3332  # decided here
+
+
 def test_substring_removal_keeps_columns(edges):
     rows = edges.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     texts = {r["doc_id"]: r["text"] for r in rows.collect()}
