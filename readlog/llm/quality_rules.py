@@ -91,7 +91,6 @@ def repeated_words(ordered: str, width: int) -> Column:
 def quality_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = 8) -> DataFrame:
     """``keep`` and the counts of every whole text: see COUNTS."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     read = docs.select(*keep, text.alias("_text"), F.array_remove(F.split(text, SPACE_CLASS + "+"), "").alias("_words"), lines.alias("_lines"))
     n = F.size("_words")
