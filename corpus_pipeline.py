@@ -24,7 +24,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of near copies. Rows without words or without an id stay; rows
-    that share an id stay or go together."""
+    that share an id stay or go by their own texts."""
     return near_dedup.keep_one(docs)
 
 
