@@ -96,7 +96,13 @@ def _tag_list(registry: DataFrame) -> Column:
 
 
 def apply_merges(registry: DataFrame, merges: DataFrame, at: Column) -> DataFrame:
-    """Registry after ``merges`` (survivor, absorbed: ids; seq: their order).
+    """Registry after ``merges`` (survivor, absorbed: ids; seq: their order); see ``merged``."""
+    return merged(registry, merges, at)[0]
+
+
+def merged(registry: DataFrame, merges: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Registry after ``merges`` (survivor, absorbed: ids; seq: their order), and survivor, absorbed, seq, outcome of each: merged,
+    already-merged or not-found, and ``missing``, the id that wasn't.
 
     A merge takes both ids to their cards at that time; all rows of the absorbed card point to the survivor's canonical
     row, which takes over the cover if it has none, the tags that it lacks, and life if it was deleted and the absorbed
@@ -116,14 +122,21 @@ def apply_merges(registry: DataFrame, merges: DataFrame, at: Column) -> DataFram
     order = F.col("seq") if "seq" in merges.columns else F.struct("survivor", "absorbed")
     left = merges.select("survivor", "absorbed", order.alias("seq"))
     for side in ("survivor", "absorbed"):
-        left = left.join(card.select(F.col("id").alias(side), F.col("card").alias(f"{side}_card")), side)
-    pending = checkpoint(left.select(F.col("survivor_card").alias("s"), F.col("absorbed_card").alias("a"), "seq").filter("s <> a"))
-    moved = None
+        left = left.join(card.select(F.col("id").alias(side), F.col("card").alias(f"{side}_card")), side, "left")
+    told = ["survivor", "absorbed", "seq"]
+    asked = checkpoint(left.select(*told, F.col("survivor_card").alias("s"), F.col("absorbed_card").alias("a")))
+    outcome = lambda df, name: df.select(*told, F.lit(name).alias("outcome"), F.lit(None).cast(registry.schema["id"].dataType).alias("missing"))
+    unknown = asked.filter("s IS NULL OR a IS NULL")
+    results = outcome(unknown, "not-found").drop("missing").join(unknown.select(*told, F.when(F.col("s").isNull(), F.col("survivor")).otherwise(F.col("absorbed")).alias("missing")), told)
+    results = results.unionByName(outcome(asked.filter("s = a"), "already-merged"))
+    pending, moved = asked.filter("s <> a"), None
     while not pending.isEmpty():
         least = pending.select(F.explode(F.array("s", "a")).alias("card"), "seq").groupBy("card").agg(F.min("seq").alias("least"))
         first = lambda side: least.select(F.col("card").alias(side), F.col("least").alias(f"least_{side}"))  # noqa: B023, E731
-        ready = pending.join(first("s"), "s").join(first("a"), "a").filter("seq = least_s AND seq = least_a").select("s", "a")
+        ready = pending.join(first("s"), "s").join(first("a"), "a").filter("seq = least_s AND seq = least_a").select("s", "a", *told)
         ready = checkpoint(ready)
+        results = results.unionByName(outcome(ready, "merged"))
+        pending = pending.join(ready.select("seq"), "seq", "left_anti")
         other = state.select(F.col("card").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("cover", "tag_list", "deleted")])
         joined = state.join(ready.select(F.col("s").alias("card"), "a").join(other, "a"), "card", "left")
         takes = F.col("a").isNotNull() & F.col("cover").isNull() & F.col("a_cover").isNotNull()
@@ -137,9 +150,11 @@ def apply_merges(registry: DataFrame, merges: DataFrame, at: Column) -> DataFram
         follow = lambda df, c: df.join(to, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")  # noqa: B023, E731
         new = ready.select(F.col("a").alias("card"), F.col("s").alias("survivor"))
         moved = checkpoint(new if moved is None else follow(moved, "survivor").unionByName(new))
-        pending = checkpoint(follow(follow(pending, "s"), "a").filter("s <> a"))
+        pending = checkpoint(follow(follow(pending, "s"), "a"))
+        results = results.unionByName(outcome(pending.filter("s = a"), "already-merged"))
+        pending = pending.filter("s <> a")
     if moved is None:
-        return registry
+        return registry, results
     pointed = group.join(moved, group["canonical_slug"] == moved["card"]).select(F.col("slug").alias("_slug"), F.col("survivor").alias("_survivor"))
     joined = registry.join(pointed, registry["slug"] == F.col("_slug"), "left").join(state.filter("touched"), registry["slug"] == F.col("card"), "left")
     survives = F.col("card").isNotNull()
@@ -151,7 +166,25 @@ def apply_merges(registry: DataFrame, merges: DataFrame, at: Column) -> DataFram
     if has["tags"]:
         kind = registry.schema["tags"].dataType.simpleString()
         values["tags"] = F.when(survives, F.col("tag_list") if kind.startswith("array") else F.to_json("tag_list")).otherwise(F.col("tags"))
-    return joined.withColumns(values | _stamped(registry, survives | F.col("_slug").isNotNull(), at)).select(*registry.columns)
+    return joined.withColumns(values | _stamped(registry, survives | F.col("_slug").isNotNull(), at)).select(*registry.columns), results
+
+
+def delete_outcomes(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, seq, deleted for each of ``ids`` (id, seq): whether it deleted a card. An unknown id, and one whose card is deleted by then, as
+    by an earlier id of the same card, did not."""
+    cards = members(registry).filter("NOT canonical_deleted").select("id", "canonical_id")
+    named = ids.select("id", "seq").join(cards, "id", "left")
+    first = named.filter("canonical_id IS NOT NULL").groupBy("canonical_id").agg(F.min("seq").alias("first"))
+    return named.join(first, "canonical_id", "left").select("id", "seq", F.coalesce(F.col("seq") == F.col("first"), F.lit(False)).alias("deleted"))
+
+
+def unmerge_outcomes(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, seq, outcome for each of ``ids`` (id, seq): unmerged, not-merged (also where an earlier one did it) or not-found."""
+    rows = registry.select("id", F.col("merged_into_slug").isNotNull().alias("pointed"))
+    first = ids.groupBy("id").agg(F.min("seq").alias("first"))
+    named = ids.select("id", "seq").join(first, "id").join(rows, "id", "left")
+    outcome = F.when(F.col("pointed").isNull(), "not-found").when(F.col("pointed") & (F.col("seq") == F.col("first")), "unmerged").otherwise("not-merged")
+    return named.select("id", "seq", outcome.alias("outcome"))
 
 
 def apply_unmerges(registry: DataFrame, ids: DataFrame, at: Column) -> DataFrame:

@@ -52,7 +52,7 @@ def series_docs(docs: DataFrame, column: str = "doc") -> DataFrame:
     tags = F.coalesce(F.to_json(_field(d, "tags")), F.lit(""))
     return docs.select(
         string(d, "_id", "").alias("slug"), string(d, "canonicalName", "").alias("canonical_name"), string(d, "coverUrl").alias("cover_url"),
-        integer(d, "coverVersion").alias("cover_version"), text.status(string(d, "status", "")).alias("status"), text.tags(tags).alias("tags"),
+        string(d, "coverImageType").alias("cover_image_type"), integer(d, "coverVersion").alias("cover_version"), text.status(string(d, "status", "")).alias("status"), text.tags(tags).alias("tags"),
         time(d, "createdAt").alias("created_at"), time(d, "updatedAt").alias("updated_at"), nullable_time(d, "deletedAt").alias("deleted_at"),
         string(d, "mergedIntoSlug").alias("merged_into_slug"),
     )
@@ -88,7 +88,8 @@ def cover_docs(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 
 def _doc(**fields: Column) -> Column:
-    return F.to_json(F.struct(*[x.alias(c) for c, x in fields.items()])).alias("doc")
+    """A JSON document; fields without a value are null in it."""
+    return F.to_json(F.struct(*[x.alias(c) for c, x in fields.items()]), {"ignoreNullFields": "false"}).alias("doc")
 
 
 def export_events(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -107,8 +108,9 @@ def export_series(registry: DataFrame) -> DataFrame:
     """slug and JSON document of each row; a flag stands for cover bytes."""
     tags = F.col("tags") if registry.schema["tags"].dataType.simpleString().startswith("array") else text.tags(F.col("tags"))
     bytes_ = F.col("cover_image").isNotNull() if "cover_image" in registry.columns else F.lit(False)
+    kind = F.col("cover_image_type") if "cover_image_type" in registry.columns else F.lit(None).cast("string")
     doc = _doc(
-        _id=F.col("slug"), canonicalName=F.col("canonical_name"), coverUrl=F.col("cover_url"), hasStoredCover=bytes_, coverVersion=F.col("cover_version"), status=text.status(F.col("status")), tags=tags,
+        _id=F.col("slug"), id=F.col("id").cast("string"), coverImageType=kind, canonicalName=F.col("canonical_name"), coverUrl=F.col("cover_url"), hasStoredCover=bytes_, coverVersion=F.col("cover_version"), status=text.status(F.col("status")), tags=tags,
         createdAt=text.iso(F.col("created_at")), updatedAt=text.iso(F.col("updated_at")), deletedAt=text.iso(F.col("deleted_at")), mergedIntoSlug=F.col("merged_into_slug"),
     )
     return registry.select("slug", doc)

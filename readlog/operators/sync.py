@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from readlog.sources.store import checkpoint
 
 
 def merge_lww(local: DataFrame, remote: DataFrame, key: str, clock: str = "updated_at", local_only: tuple[str, ...] = ()) -> DataFrame:
@@ -65,8 +68,8 @@ def restore(local: dict[str, DataFrame], remote: dict[str, DataFrame], force: bo
     if not force and any(not local[k].isEmpty() for k in ("series", "events", "adapters") if k in local):
         raise ValueError("local data exists; pass force=True to replace it")
     empty = {k: df.filter("false") for k, df in local.items()}
-    out = {k: df for k, df in sync(empty, remote).items() if not k.startswith("push_")}
-    if "covers" in remote:
+    out = {k: df for k, df in sync(empty, remote).items() if not k.startswith(("push_", "remove_"))}
+    if "covers" in remote and "covers" not in out:
         here = local["covers"].filter("false") if "covers" in local else remote["covers"].filter("false")
         pulled = cover_diff(here, remote["covers"]).filter("action = 'pull'")
         out["covers"] = remote["covers"].join(pulled.select("slug"), "slug", "left_semi")
@@ -87,31 +90,93 @@ def converge(replicas: list[DataFrame], key: str, clock: str = "updated_at", cre
     return out.withColumn(created, F.col("_created")).drop("_created") if created else out
 
 
-def sync(local: dict[str, DataFrame], remote: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Both directions for those of series, events, adapters and dismissals that both sides have; pushes are computed
+def _made_id(slug: Column, kind: T.DataType, attempt: int) -> Column:
+    if isinstance(kind, T.StringType):
+        return F.sha2(slug.cast("string"), 256)
+    made = F.xxhash64(slug.cast("string"), F.lit(attempt))
+    return made if isinstance(kind, T.LongType) else F.pmod(made, F.lit(2**31 - 1)).cast(kind)
+
+
+def with_new_ids(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """``rows`` (slug, id) with an id of the column's own type for each that has none, made from its slug. A made number that
+    ``taken`` (id) or a smaller slug has already is made anew."""
+    kind = rows.schema["id"].dataType
+    if isinstance(kind, T.StringType):
+        return rows.withColumn("id", F.coalesce("id", _made_id(F.col("slug"), kind, 0)))
+    done, left, attempt = [], checkpoint(rows.filter("id IS NULL").select("slug").distinct()), 0
+    used = taken.filter("id IS NOT NULL").select("id")
+    while not left.isEmpty():
+        tried = left.withColumn("id", _made_id(F.col("slug"), kind, attempt)).join(used, "id", "left_anti")
+        named = checkpoint(tried.groupBy("id").agg(F.min("slug").alias("slug")))
+        done.append(named.select("slug", F.col("id").alias("_made")))
+        used, attempt = used.unionByName(named.select("id")), attempt + 1
+        left = checkpoint(left.join(named.select("slug"), "slug", "left_anti"))
+    made = reduce(DataFrame.unionByName, done) if done else rows.filter("false").select("slug", F.col("id").alias("_made"))
+    return rows.join(made, "slug", "left").withColumn("id", F.coalesce("id", "_made")).drop("_made").select(*rows.columns)
+
+
+class Counts:
+    """Rows pulled and pushed by kind, counted while the frames of a sync are written, without another pass."""
+
+    KINDS = ("series", "events", "adapters", "covers", "dismissals")
+
+    def __init__(self) -> None:
+        self._seen: dict[tuple[str, str], Observation] = {}
+
+    def watch(self, way: str, kind: str, rows: DataFrame, which: Column | None = None) -> DataFrame:
+        seen = self._seen[way, kind] = Observation()
+        return rows.observe(seen, F.count(F.lit(1) if which is None else F.when(which, 1)).alias("n"))
+
+    def result(self) -> dict[str, dict[str, int]]:
+        """After the frames were written; waits for those that weren't."""
+        value = lambda key: self._seen[key].get["n"] if key in self._seen else 0
+        return {way: {kind: value((way, kind)) for kind in self.KINDS} for way in ("pulled", "pushed")}
+
+
+def sync(local: dict[str, DataFrame], remote: dict[str, DataFrame], counts: Counts | None = None) -> dict[str, DataFrame]:
+    """Both directions for those of series, events, adapters, dismissals and covers that both sides have; pushes are computed
     after the pull. Series that are new here get an id made from their slug, and events that name their series by slug
-    (``series_slug``) get its id here; those of an unknown series wait for it."""
-    both = [k for k in ("series", "events", "adapters", "dismissals") if k in local and k in remote]
+    (``series_slug``) get its id here; those of an unknown series wait for it. Cover bytes move where ``cover_diff`` says so by
+    versions, and ``remove_covers`` names the remote ones that were cleared here. ``counts`` watches what is pulled and pushed."""
+    both = [k for k in ("series", "events", "adapters", "dismissals", "covers") if k in local and k in remote]
+    watch = counts.watch if counts else lambda way, kind, rows, which=None: rows
     out: dict[str, DataFrame] = {}
+    moved = F.col("moved") != "kept"
     if "series" in both:
         theirs = remote["series"]
         for c in local["series"].columns:
             if c not in theirs.columns:
                 theirs = theirs.withColumn(c, F.lit(None).cast(local["series"].schema[c].dataType))
         rows = merge_lww(local["series"], theirs, "slug", local_only=("id", "created_at", "cover_image", "cover_image_type"))
-        if "id" in rows.columns:
-            made = F.sha2(F.col("slug").cast("string"), 256).try_cast(local["series"].schema["id"].dataType)
-            rows = rows.withColumn("id", F.coalesce("id", made))
-        out["series"] = rows.drop("moved")
-        out["push_series"] = push_diff(out["series"], remote["series"], "slug")
+        if "id" in rows.columns:  # an id is this machine's own
+            own = rows.withColumn("id", F.when(F.col("moved") != "inserted", F.col("id")))
+            rows = with_new_ids(checkpoint(own), local["series"])
+        out["series"] = watch("pulled", "series", rows, moved).drop("moved")
+        out["push_series"] = watch("pushed", "series", push_diff(rows.drop("moved"), remote["series"], "slug"))
     if "events" in both:
-        named = out.get("series") if "series_slug" in remote["events"].columns else None
-        out["events"] = event_union(local["events"], remote["events"], named)
-        out["push_events"] = missing_remotely(out["events"], remote["events"], "id")
+        theirs = remote["events"]
+        new = theirs.filter(F.col("id").cast("string") != "").join(local["events"].select("id"), "id", "left_anti").dropDuplicates(["id"])
+        if "series_slug" in theirs.columns and "series" in out:
+            new = new.join(rows.select(F.col("slug").alias("series_slug"), F.col("id").alias("series_id")), "series_slug").drop("series_slug")
+        out["events"] = local["events"].unionByName(watch("pulled", "events", new))
+        out["push_events"] = watch("pushed", "events", missing_remotely(local["events"], theirs, "id"))
     if "adapters" in both:
-        out["adapters"] = merge_lww(local["adapters"], remote["adapters"], "domain", local_only=("id", "created_at")).drop("moved")
-        out["push_adapters"] = push_diff(out["adapters"], remote["adapters"], "domain")
+        found = merge_lww(local["adapters"], remote["adapters"], "domain", local_only=("id", "created_at"))
+        out["adapters"] = watch("pulled", "adapters", found, moved).drop("moved")
+        out["push_adapters"] = watch("pushed", "adapters", push_diff(found.drop("moved"), remote["adapters"], "domain"))
     if "dismissals" in both:
-        out["dismissals"] = dismissal_union(local["dismissals"], remote["dismissals"])
-        out["push_dismissals"] = missing_remotely(out["dismissals"], remote["dismissals"], "slug_a", "slug_b")
+        known = ["slug_a", "slug_b"]
+        new = remote["dismissals"].filter("slug_a <> '' AND slug_b <> '' AND slug_a <> slug_b").join(local["dismissals"], known, "left_anti").dropDuplicates(known)
+        new = new.withColumn("updated_at", F.col("created_at")).select(*local["dismissals"].columns)
+        out["dismissals"] = local["dismissals"].unionByName(watch("pulled", "dismissals", new))
+        out["push_dismissals"] = watch("pushed", "dismissals", missing_remotely(local["dismissals"], remote["dismissals"], *known))
+    if "covers" in both:
+        ours, theirs = local["covers"], remote["covers"]
+        moves = checkpoint(cover_diff(ours.select("slug", "cover_version"), theirs.select("slug", "cover_version")))  # bytes last, and those of movers alone
+        way = lambda rows, action: rows.join(moves.filter(F.col("action") == action).select("slug"), "slug", "left_semi")
+        pulled = watch("pulled", "covers", way(theirs, "pull").select(*ours.columns))
+        out["covers"] = ours.join(moves.filter("action = 'pull'").select("slug"), "slug", "left_anti").unionByName(pulled)
+        out["push_covers"] = watch("pushed", "covers", way(ours, "push"))
+        if "series" in out and "cover_version" in out["series"].columns:
+            out["remove_covers"] = cleared_covers(out["covers"], theirs, out["series"])
     return out

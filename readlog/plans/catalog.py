@@ -323,9 +323,9 @@ def first_cover(s: SparkSession, d: str) -> DataFrame:
     return ingest.first_covers(rows, rows.select("slug", F.lit(None).cast("string").alias("cover_url"))).select("slug", "cover_url")
 
 
-@query(f"SELECT r.slug, min(l.read_at) AS revived_at FROM ({REGISTRY}) r JOIN ({LOG}) l ON l.series_id = r.id WHERE deleted_at IS NOT NULL AND l.chapter_label = 'Extra Omake' GROUP BY 1")
+@query(f"SELECT r.slug, min(l.read_at) AS revived_at FROM ({REGISTRY}) r JOIN ({LOG}) l ON l.series_id = r.id WHERE deleted_at IS NOT NULL GROUP BY 1")
 def resurrected(s: SparkSession, d: str) -> DataFrame:
-    touched = log(s, d).filter("chapter_label = 'Extra Omake'").select(F.concat(F.lit("series-"), "series_id").alias("target"), F.col("id").alias("report_id"), "read_at")
+    touched = log(s, d).select(F.concat(F.lit("series-"), "series_id").alias("target"), F.col("id").alias("report_id"), "read_at")
     return ingest.resurrected(touched, registry(s, d)).select("slug", F.col("at").alias("revived_at"))
 
 
@@ -409,19 +409,64 @@ def deletes_applied(s: SparkSession, d: str) -> DataFrame:
     return curate.apply_deletes(cards(s, d), role(s, d, roles.CLICKED), _at()).select("slug", "deleted_at", "updated_at")
 
 
-@query(f"""WITH RECURSIVE {CARD_ROWS},
-p AS (SELECT a.canonical_slug AS s, b.canonical_slug AS t, a.dead AS sd, b.dead AS td, k.id AS tid, k.cover_url AS cover FROM mem a JOIN mem b ON b.id = a.id + 1 JOIN reg k ON k.slug = b.canonical_slug
-      WHERE a.id % 30 = 4 AND a.canonical_slug <> b.canonical_slug)
+#: Every card in a merge with the next one of its eight, if there is one: no card is in two.
+_MERGES = "SELECT id AS survivor, absorbed, id AS seq FROM (SELECT id, lead(id) OVER w AS absorbed, row_number() OVER w AS rn FROM {cards} WINDOW w AS (PARTITION BY CAST(floor(id / 8) AS BIGINT) ORDER BY id)) x WHERE rn % 2 = 1 AND absorbed IS NOT NULL"
+
+
+def _merges(r: DataFrame) -> DataFrame:
+    tops = identity.members(r).filter("NOT is_alias").select("id")
+    return r.sparkSession.sql(_MERGES, cards=tops)
+
+
+@query(f"""WITH RECURSIVE {CARD_ROWS}, tops AS (SELECT id FROM mem WHERE NOT is_alias),
+p AS (SELECT a.slug AS s, b.slug AS t, a.dead AS sd, b.dead AS td, k.id AS tid, k.cover_url AS cover FROM ({_MERGES.format(cards='tops')}) g JOIN mem a ON a.id = g.survivor JOIN mem b ON b.id = g.absorbed JOIN reg k ON k.slug = b.slug)
 SELECT r.slug, coalesce(m.s, r.merged_into_slug) AS merged_into_slug, CASE WHEN q.sd AND NOT q.td THEN NULL ELSE r.deleted_at END AS deleted_at, coalesce(r.cover_url, q.cover) AS cover_url,
        CAST(r.cover_version + CASE WHEN r.cover_url IS NULL AND q.cover IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS cover_version,
        list_concat(['t' || (r.id % 3), 'favs'], CASE WHEN q.tid % 3 <> r.id % 3 THEN ['t' || (q.tid % 3)] ELSE [] END) AS tags,
        CASE WHEN m.s IS NULL AND q.s IS NULL THEN r.updated_at ELSE {_STAMP} END AS updated_at
 FROM reg r JOIN mem x ON x.slug = r.slug LEFT JOIN p m ON m.t = x.canonical_slug LEFT JOIN p q ON q.s = r.slug""")
 def merges_applied(s: SparkSession, d: str) -> DataFrame:
-    """Merges of which no two touch one card, since the SQL has no order; tests apply sequences."""
+    """Merges of all cards, of which no two touch one card, since the SQL has no order; tests apply sequences."""
     r = cards(s, d)
-    merges = r.filter("id % 30 = 4").select(F.col("id").alias("survivor"), (F.col("id") + 1).alias("absorbed"), F.col("id").alias("seq"))
-    return curate.apply_merges(r, merges, _at()).select("slug", "merged_into_slug", "deleted_at", "cover_url", F.col("cover_version").cast("long").alias("cover_version"), text.tags(F.col("tags")).alias("tags"), "updated_at")
+    return curate.apply_merges(r, _merges(r), _at()).select("slug", "merged_into_slug", "deleted_at", "cover_url", F.col("cover_version").cast("long").alias("cover_version"), text.tags(F.col("tags")).alias("tags"), "updated_at")
+
+
+@query(f"""WITH RECURSIVE {CARD_ROWS} SELECT p.page_id AS survivor, coalesce(m.canonical_id, p.page_id) AS absorbed, p.page_id AS seq, CASE WHEN m.id IS NULL THEN 'not-found' ELSE 'already-merged' END AS outcome,
+CASE WHEN m.id IS NULL THEN p.page_id END AS missing FROM pages p LEFT JOIN mem m ON m.id = p.page_id""")
+def merges_refused(s: SparkSession, d: str) -> DataFrame:
+    """Every page's number as a series to merge with the card that it is on: of one card already, or not there."""
+    r = cards(s, d)
+    pages = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("survivor"), F.col("page_id").alias("seq"))
+    own = identity.members(r).select(F.col("id").alias("survivor"), "canonical_id")
+    asked = pages.join(own, "survivor", "left").select("survivor", F.coalesce("canonical_id", "survivor").alias("absorbed"), "seq")
+    return curate.merged(r, asked, _at())[1]
+
+
+@query(f"""WITH RECURSIVE {CARD_ROWS}, i AS (SELECT page_id AS id, page_id AS seq FROM pages)
+SELECT i.id, i.seq, m.canonical_slug IS NOT NULL AND row_number() OVER (PARTITION BY m.canonical_slug ORDER BY i.seq) = 1 AS deleted FROM i LEFT JOIN mem m ON m.id = i.id AND NOT m.dead""")
+def deletes_reported(s: SparkSession, d: str) -> DataFrame:
+    """Every page's number as a series to delete: which of them deleted a card."""
+    ids = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.col("page_id").alias("seq"))
+    return curate.delete_outcomes(cards(s, d), ids)
+
+
+@query(f"""SELECT p.page_id AS id, p.page_id AS seq, CASE WHEN r.id IS NULL THEN 'not-found' WHEN r.merged_into_slug IS NOT NULL THEN 'unmerged' ELSE 'not-merged' END AS outcome FROM pages p LEFT JOIN ({CARDS}) r ON r.id = p.page_id""")
+def unmerges_reported(s: SparkSession, d: str) -> DataFrame:
+    ids = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.col("page_id").alias("seq"))
+    return curate.unmerge_outcomes(cards(s, d), ids)
+
+
+@query(f"""WITH RECURSIVE {CARD_ROWS}, g AS (SELECT slug FROM mem WHERE NOT dead AND canonical_slug IN (SELECT canonical_slug FROM mem WHERE id IN ({CLICKED}))) SELECT slug, 'updated' AS change, {_STAMP} AS ts FROM g""")
+def deletes_feed(s: SparkSession, d: str) -> DataFrame:
+    """What deletions changed; the ids of deleted and unknown cards give no signal."""
+    r = cards(s, d)
+    return streams.snapshot_feed(r, curate.apply_deletes(r, role(s, d, roles.CLICKED), _at()), "slug", _at())
+
+
+@query(f"""WITH RECURSIVE {CANONICAL.replace(f"reg AS ({REGISTRY})", f"reg AS (SELECT * FROM ({REGISTRY}) x WHERE deleted_at IS NULL)")} SELECT slug FROM mem WHERE NOT is_alias""")
+def duplicate_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Cards that may be duplicates: deleted rows dropped, the rest grouped."""
+    return duplicates.candidates_of(registry(s, d)).select("slug")
 
 
 @query(f"""SELECT slug, CASE WHEN named THEN NULL ELSE merged_into_slug END AS merged_into_slug, CASE WHEN named THEN merged_into_slug IS NOT NULL END AS was_merged,
@@ -524,10 +569,11 @@ def event_documents(s: SparkSession, d: str) -> DataFrame:
     return documents.event_docs(documents.export_events(_state(s, d)[1], registry(s, d)))
 
 
-@query(f"""SELECT slug, canonical_name, cover_url, CAST(cover_version AS BIGINT) AS cover_version, status, ['t' || (id % 3), 'favs'] AS tags, created_at, updated_at, deleted_at, merged_into_slug FROM ({CARDS}) r""")
+@query(f"""SELECT slug, canonical_name, cover_url, CASE WHEN id % 3 = 0 THEN 'image/png' END AS cover_image_type, CAST(cover_version AS BIGINT) AS cover_version, status, ['t' || (id % 3), 'favs'] AS tags, created_at, updated_at, deleted_at, merged_into_slug FROM ({CARDS}) r""")
 def card_documents(s: SparkSession, d: str) -> DataFrame:
     """Registry rows exported as documents and read back, every field."""
-    return documents.series_docs(documents.export_series(cards(s, d)))
+    kind = F.when(F.col("id") % 3 == 0, "image/png")
+    return documents.series_docs(documents.export_series(cards(s, d).withColumn("cover_image_type", kind)))
 
 
 @query("""SELECT slug_a, slug_b, date_trunc('milliseconds', min(ts)) AS created_at FROM (SELECT least('series-' || user_id, 'series-' || (event_id % 40)) AS slug_a, greatest('series-' || user_id, 'series-' || (event_id % 40)) AS slug_b, ts FROM events) x
