@@ -432,6 +432,14 @@ def test_documents_are_skipped():
     best = np.lexsort((np.arange(n), -np.round(total, 9)))[:10]
     assert sorted(ids.tolist()) == sorted((best + 7).tolist()) and sorted(scores) == pytest.approx(sorted(total[best]))
     assert sum(seen) < 0.05 * n
+    # a query whose best documents stand in few blocks reads no postings of the others
+    one, every = np.array([40, 41, 42, 800]), int(sum((term == t).sum() for t in (40, 41, 42)))
+    weight = np.array([1.0, 2.0, 4.0, 0.1])
+    first, best = shard.search(shard.places(one), weight, 3, np.zeros(0, np.int64), np.zeros(0))
+    before = shard.decoded
+    again, same = shard.search(shard.places(one), weight, 3, np.zeros(0, np.int64), np.zeros(0), floor=float(best[-1]))
+    assert first.tolist() == again.tolist() and best.tolist() == same.tolist() and 0 < shard.decoded - before < every / 2
+    assert len(shard.search(shard.places(one), weight, 3, np.zeros(0, np.int64), np.zeros(0), floor=1e9)[0]) == 0 and shard.decoded - before < every / 2
 
 
 class Counted:
