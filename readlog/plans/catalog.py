@@ -285,6 +285,13 @@ def shared_cover_pairs(s: SparkSession, d: str) -> DataFrame:
     return duplicates.shared_cover_pairs(rows)
 
 
+@query(f"""WITH c AS (SELECT 'page-' || id AS slug, {SQL_KEY} AS k FROM ({URLS}) u) SELECT slug, min(slug) OVER w AS representative, count(*) OVER w - 1 AS n_links FROM c WHERE k IS NOT NULL WINDOW w AS (PARTITION BY k) QUALIFY count(*) OVER w > 1""")
+def cover_classes(s: SparkSession, d: str) -> DataFrame:
+    """Pages that share a cover, as classes: the linear form of ``shared_cover_pairs``."""
+    rows = role(s, d, roles.URLS).select(F.concat(F.lit("page-"), "id").alias("slug"), text.series_key(F.col("url")).alias("cover_url"))
+    return duplicates.cover_classes(rows)
+
+
 _NEAR = f"SELECT slug_a, slug_b FROM ({_SHORT_PAIRS}) p WHERE {EDIT} >= 0.6"
 
 
