@@ -348,6 +348,46 @@ def ingest_batch(s: SparkSession, d: str) -> DataFrame:
     return ingest.ingest(_reports(s, d), *_state(s, d))["outcomes"].select("report_id", "target", "via", "series_id", "event_id", "created", "cover_changed", "revived", "changed")
 
 
+def _known_reports(s: SparkSession, d: str) -> DataFrame:
+    """Reports, later than the log, of series by their own titles or by new ones that are close to no other, half of them with the
+    series' page, whose owner the log knows."""
+    pages = role(s, d, roles.URLS).select(F.col("id").alias("series_id"), "url")
+    n, series = F.col("id"), F.col("series_id").cast("string")
+    return log(s, d).join(pages, "series_id", "left").select(
+        (n + 1_000_000).alias("report_id"), F.when(n % 3 == 0, F.md5(series)).otherwise(F.concat(F.lit("Series "), series)).alias("manga_name"),
+        F.when(n % 4 == 0, F.concat(F.lit("Cap. "), (F.col("series_id") % 7 + 1000).cast("string"))).otherwise(F.col("chapter_label")).alias("chapter_label"), "source_url",
+        F.when(n % 5 == 0, F.concat(F.lit("https://img.example.com/"), n)).alias("cover_url"), F.when(n % 2 == 0, F.col("url")).alias("series_url"), F.expr("read_at + INTERVAL 40 DAYS").alias("read_at"),
+    )
+
+
+_TOLD = f"""WITH RECURSIVE {CANONICAL},
+own AS (SELECT k.series_key, m.canonical_slug FROM (SELECT series_key, series_id, row_number() OVER (PARTITION BY series_key ORDER BY read_at DESC, id DESC) AS rn FROM ({_KEYED}) x) k JOIN mem m ON m.id = k.series_id WHERE rn = 1),
+raw AS (SELECT l.id + 1000000 AS report_id, CASE WHEN l.id % 3 = 0 THEN md5(l.series_id::VARCHAR) ELSE 'series-' || l.series_id END AS slug,
+        CASE WHEN l.id % 4 = 0 THEN 'Cap. ' || (l.series_id % 7 + 1000) ELSE l.chapter_label END AS chapter_label, l.source_url, l.id % 5 = 0 AS covered, CASE WHEN l.id % 2 = 0 THEN u.url END AS url, l.read_at + INTERVAL 40 DAY AS read_at
+        FROM ({LOG}) l LEFT JOIN ({URLS}) u ON u.id = l.series_id),
+rp AS (SELECT *, {SQL_KEY} AS series_key, {NUMBER} AS num, CASE WHEN {NUMBER} IS NULL THEN chapter_label END AS txt FROM raw),
+tg AS (SELECT rp.*, own.canonical_slug AS by_key, mem.canonical_slug AS by_slug, coalesce(own.canonical_slug, mem.canonical_slug, rp.slug) AS target FROM rp LEFT JOIN own USING (series_key) LEFT JOIN mem ON mem.slug = rp.slug),
+st AS (SELECT canonical_slug AS target, num, txt, arg_max(id, (read_at, id)) AS event_id FROM ev GROUP BY 1, 2, 3),
+nx AS (SELECT tg.*, CASE WHEN by_key IS NOT NULL THEN 'key' WHEN by_slug IS NOT NULL OR row_number() OVER (PARTITION BY tg.slug, by_key IS NULL AND by_slug IS NULL ORDER BY read_at, report_id) > 1 THEN 'slug' ELSE 'new' END AS via,
+       st.event_id IS NULL AND row_number() OVER (PARTITION BY tg.target, tg.num, tg.txt ORDER BY read_at, report_id) = 1 AS created,
+       coalesce(st.event_id::VARCHAR, sha256(first_value(report_id || chr(1) || source_url) OVER (PARTITION BY tg.target, tg.num, tg.txt ORDER BY read_at, report_id))) AS event_id,
+       covered AND row_number() OVER (PARTITION BY tg.target, covered ORDER BY read_at, report_id) = 1 AS cover_changed,
+       reg.deleted_at IS NOT NULL AND row_number() OVER (PARTITION BY tg.target ORDER BY read_at, report_id) = 1 AS revived, coalesce(reg.id::VARCHAR, sha256(tg.target)) AS series_id
+       FROM tg LEFT JOIN st ON st.target = tg.target AND st.num IS NOT DISTINCT FROM tg.num AND st.txt IS NOT DISTINCT FROM tg.txt LEFT JOIN reg ON reg.slug = tg.target)"""
+
+
+@query(_TOLD + " SELECT report_id, target, via, series_id, event_id, created, cover_changed, revived, created OR cover_changed OR revived AS changed FROM nx")
+def ingest_told(s: SparkSession, d: str) -> DataFrame:
+    """Whole ingestion of reports whose targets the log and the registry know, or that are new: what every sender is told."""
+    return ingest.ingest(_known_reports(s, d), *_state(s, d))["outcomes"].select("report_id", "target", "via", "series_id", "event_id", "created", "cover_changed", "revived", "changed")
+
+
+@query(_TOLD + " SELECT event_id AS id, series_id, chapter_label, num AS chapter_number, source_url, read_at, series_key FROM nx WHERE created")
+def ingest_appended(s: SparkSession, d: str) -> DataFrame:
+    """What the same reports append: under the card's canonical row, with the page that they teach."""
+    return ingest.ingest(_known_reports(s, d), *_state(s, d))["appended"].drop("source_domain")
+
+
 @query(f"""WITH {_RESOLVED}, c AS (SELECT report_id, slug, read_at, row_number() OVER (PARTITION BY slug, num, txt ORDER BY read_at, report_id) = 1 AS created,
        cover_url IS NOT NULL AND row_number() OVER (PARTITION BY slug ORDER BY cover_url IS NULL, read_at, report_id) = 1 AS covers FROM r)
 SELECT report_id, slug AS target, read_at AS ts FROM c WHERE created OR covers""")
