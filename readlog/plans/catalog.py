@@ -768,7 +768,6 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
     """The log through a stream: conformed micro-batch by micro-batch, appended, and read back; ``stream_reports`` ingests."""
     out = _scratch(s, "ingest")
     rows = streams.read_table_stream(s, d, "events.parquet", s.read.parquet(f"{d}/events.parquet").schema)
-    s.conf.set("spark.sql.streaming.checkpointLocation", f"{out}/marks")
 
     def make(batch: DataFrame) -> DataFrame:
         return library.numbered(batch.sparkSession.sql(roles.LOG, events=batch))
