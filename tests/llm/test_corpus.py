@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from readlog.llm import binary_packing, bwt, exchange, language_id, mixing, near_dedup, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup
+from readlog.llm import binary_packing, bwt, exchange, language_id, mixing, near_dedup, packing, quality_model, quality_rules, search, substring_dedup, suffix_dedup, textnum
 from readlog.llm.components import components
 from readlog.llm.tokens import encoder
 from tests.llm import brute
@@ -442,6 +442,43 @@ def test_documents_are_skipped():
     assert len(shard.search(shard.places(one), weight, 3, np.zeros(0, np.int64), np.zeros(0), floor=1e9)[0]) == 0 and shard.decoded - before < every / 2
 
 
+def test_blocks_of_whole_documents_are_skipped(spark, monkeypatch):
+    """Queries of hundreds of terms read few of their lists' postings once the tenth-best score is known, and find what all scores say;
+    bounds of several queries at once are those of one; so it is where the matrix has room for few terms."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text").orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    data, offsets = textnum.text_bytes(rows.column("text"))
+    row, term, count, size = search.terms(data, offsets)
+    ids, n, norm = rows.column("doc_id").to_numpy(), rows.num_rows, 1.2 * (0.25 + 0.75 * size / size.mean())
+    b = search._shard([(ids, row, term, count, size)])
+    read = lambda name, kind: np.frombuffer(b.column(name)[0].as_buffer(), kind)
+    names, dfs = np.asarray(b.column("terms")[0].values), np.asarray(b.column("dfs")[0].values)
+    idf = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
+    for room in (search.MATRIX_BYTES, 4 * n * 3):
+        monkeypatch.setattr(search, "MATRIX_BYTES", room)
+        shard = search.Shard(read("ids", "<i8"), read("lengths", "<u4"), names, dfs, read("docs", "<u4"), read("counts", "<u4"), float(size.mean()))
+        assert 4 * n * shard.matrix.shape[1] <= room
+        asked = []
+        for q in range(0, n, 50):
+            own = np.sort(np.flatnonzero(row == q))
+            place = shard.places(np.sort(term[own]))
+            asked.append((place, idf[place] * count[own][np.argsort(term[own])]))
+        bounds, listed, counted = shard.wide_bounds(asked), 0, 0
+        for (place, weight), most in zip(asked, bounds, strict=True):
+            total, weights = np.zeros(n), np.zeros(len(names))
+            weights[place] = weight
+            np.add.at(total, row, weights[np.searchsorted(names, term)] * count * 2.2 / (count + norm[row]))
+            best = np.lexsort((ids, -np.round(total, 7)))[:10]
+            for floor in (0.0, float(total[best[-1]]) * (1 - 1e-9)):
+                before = shard.decoded
+                found, scores = shard.search(place, weight, 10, ids[:0], np.zeros(0), floor, most)
+                last = shard.decoded - before
+                assert sorted(found.tolist()) == sorted(ids[best].tolist()) and sorted(scores) == pytest.approx(sorted(total[best]))
+                alone, same = shard.search(place, weight, 10, ids[:0], np.zeros(0), floor)
+                assert (alone.tolist(), same.tolist()) == (found.tolist(), scores.tolist())
+            counted, listed = counted + last, listed + int(dfs[place][shard.column[place] < 0].sum())
+        assert 0 < counted < 0.75 * listed, (room, counted, listed)
+
+
 class Counted:
     """An array that notes how many of its items were read."""
 
