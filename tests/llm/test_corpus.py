@@ -479,6 +479,18 @@ def test_blocks_of_whole_documents_are_skipped(spark, monkeypatch):
         assert 0 < counted < 0.75 * listed, (room, counted, listed)
 
 
+@pytest.mark.parametrize("n, words_of", [(3, []), (99, range(99))])
+def test_shard_without_wide_terms(n, words_of):
+    """No words at all, and words that stand in one document each."""
+    row = np.array(words_of, np.int64)
+    b = search._shard([(np.arange(n), row, row, np.ones(len(row), np.int64), np.ones(n, np.int64))])
+    read = lambda name, kind: np.frombuffer(b.column(name)[0].as_buffer(), kind)
+    shard = search.Shard(read("ids", "<i8"), read("lengths", "<u4"), np.asarray(b.column("terms")[0].values), np.asarray(b.column("dfs")[0].values), read("docs", "<u4"), read("counts", "<u4"), 1.0)
+    assert shard.matrix.shape[1] == 0
+    if len(row):
+        assert shard.search(shard.places(np.array([5])), np.ones(1), 10, row[:0], np.zeros(0))[0].tolist() == [5]
+
+
 class Counted:
     """An array that notes how many of its items were read."""
 
