@@ -381,3 +381,35 @@ def test_entry_and_queries(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _lettered(n: int, seed: int, words: int) -> list[str]:
+    """Titles of invented prose, every third close to the one before."""
+    draw = random.Random(seed)
+    syllables, out = ["the", "an", "tion", "er", "ou", "in", "st", "ed", "ha", "re"], []
+    for i in range(n):
+        title = "-".join("".join(draw.choices(syllables, k=draw.randint(1, 3))) for _ in range(words))
+        if i % 3 == 2:
+            title = list(out[-1])
+            for _ in range(draw.randint(1, max(1, len(title) // 4))):
+                title[draw.randrange(len(title))] = draw.choice("abcé-")
+            title = "".join(title)
+        out.append(title)
+    return out
+
+
+def test_blocks_find_what_segments_find(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK_STRINGS", 40)
+    titles = _lettered(150, 1, 9) + _lettered(60, 2, 1) + ["a", "b", "ab", "x" * 300, "x" * 260 + "y", "漢字" * 40, "漢字" * 39]
+    df = spark.createDataFrame([(t,) for t in titles], "slug string")
+    for fresh in (None, df.filter("xxhash64(slug) % 3 = 0")):
+        want = {tuple(x) for x in duplicates.similar_strings(df, "slug", 0.75, fresh).collect()}
+        got = [tuple(x) for x in duplicates.blocked_strings(df, "slug", 0.75, fresh).collect()]
+        assert want and set(got) == want and len(got) == len(want)
+
+
+def test_few_pairs_are_scored(spark):
+    """Pairs that share a rare token, but whose matching tokens cannot weigh enough, are not scored."""
+    titles = sorted({f"{t}-w{i // 12:03d}" for i, t in enumerate(_lettered(240, 3, 9))})
+    df = spark.createDataFrame([(t,) for t in titles], "slug string")
+    assert duplicates.candidate_pairs(df, 0.75).count() < 200
