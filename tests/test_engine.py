@@ -413,3 +413,13 @@ def test_few_pairs_are_scored(spark):
     titles = sorted({f"{t}-w{i // 12:03d}" for i, t in enumerate(_lettered(240, 3, 9))})
     df = spark.createDataFrame([(t,) for t in titles], "slug string")
     assert duplicates.candidate_pairs(df, 0.75).count() < 200
+
+
+def test_known_titles_are_not_matched_with_one_another(spark, monkeypatch):
+    scored = []
+    monkeypatch.setattr(duplicates, "with_similarity", lambda pairs: scored.append(pairs) or similarity.with_similarity(pairs))
+    known = spark.createDataFrame([(f"solo-leveling-{i}",) for i in "abcdef"], "slug string")
+    known = known.select("slug", F.col("slug").alias("canonical_slug"), F.lit(1).alias("canonical_ord"), F.lit(0).alias("created_ord"), F.lit(False).alias("is_alias"), F.lit(False).alias("canonical_deleted"))
+    new = spark.createDataFrame([("solo-leveling-aa",)], "slug string")
+    assert [x["slug"] for x in duplicates.best_confident_match(new, known).collect()] == ["solo-leveling-aa"]
+    assert all("solo-leveling-aa" in tuple(x) for x in scored[0].select("slug_a", "slug_b").collect())
