@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -423,3 +424,16 @@ def test_known_titles_are_not_matched_with_one_another(spark, monkeypatch):
     new = spark.createDataFrame([("solo-leveling-aa",)], "slug string")
     assert [x["slug"] for x in duplicates.best_confident_match(new, known).collect()] == ["solo-leveling-aa"]
     assert all("solo-leveling-aa" in tuple(x) for x in scored[0].select("slug_a", "slug_b").collect())
+
+
+def test_long_titles_and_their_sequels(spark):
+    """Titles of 300,000 letters, of one word and of 50,000: no step takes a table of all letters or of all pairs of words."""
+    titles = ["ab" * 150_000, "-".join(f"w{i:05d}" for i in range(50_000))]
+    rows = spark.createDataFrame([(t, t + "-season") for t in [*titles, "a-b-a-a-b", "x"]], "slug_a string, slug_b string")
+    began = time.perf_counter()
+    got = similarity.with_similarity(rows).select(F.length("slug_a").alias("n"), "edit", "token_score", "sequel").orderBy("n").collect()
+    assert time.perf_counter() - began < 30
+    assert [(x["n"], x["sequel"]) for x in got] == [(1, True), (9, True), (300_000, True), (349_999, True)]
+    assert [round(x["edit"], 9) for x in got] == [round(1 - 7 / (x["n"] + 7), 9) for x in got]
+    words = [1, 5, 300_000, 300_000]
+    assert [round(x["token_score"], 9) for x in got] == [round(2 * w / (2 * w + 6), 9) for w in words]
